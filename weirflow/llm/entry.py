@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import decontam, mixing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": mixing.op3_mixing,
         "op8_secrets": secrets.op8_secrets,
+        "op9_decontamination": decontam.op9_decontamination,
+        "op10_quality": quality.op10_quality,
     }
 
 
