@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, secrets
+from . import decontam, mixing, neardup, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op4_near_duplicates": neardup.op4_near_duplicates,
         "op8_secrets": secrets.op8_secrets,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_quality": quality.op10_quality,
