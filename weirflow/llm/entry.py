@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, secrets
+from . import decontam, mixing, neardup, pii, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
         "op3_mixing": mixing.op3_mixing,
         "op4_near_duplicates": neardup.op4_near_duplicates,
         "op8_secrets": secrets.op8_secrets,
