@@ -9,8 +9,9 @@ A pair is linked if its Jaccard similarity by these weights reaches the threshol
 IDF only moves a pair near the threshold, and a pair that the plain measure holds to be copies is not to be missed.
 
 Consistent weighted samples (BANDS x ROWS) agree with the probability of the weighted Jaccard similarity. Exact copies
-are one key (the MD5 of the text) from there on. Keys that share a band are compared with one pivot of the band, then
-only where a band still holds several classes with two further pivots, and what is then left between classes pair by
+are one key (the MD5 of the text) from there on. Keys that share a band are compared with one pivot of the band, the key
+with the most neighbours (of edited copies, as a rule the original); where a band still holds several classes, with
+another pivot outside the first one's class; and what is then left between classes pair by
 pair, unless the triangle inequality of the Jaccard distance or the weights' ratio already excludes the pair. So a group
 of n near copies takes about n comparisons, and no link between candidates is lost. Classes are connected components.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 8, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
-PIVOTS = 3
+PIVOTS = 2
 TESTED = ["a", "b", "sim", "plain", "weight_a", "count_a", "weight_b", "count_b"]
 
 
@@ -111,14 +113,16 @@ def band_hashes(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) ->
     full = np.flatnonzero(np.diff(bounds))
     starts, owner = bounds[:-1][full], np.repeat(np.arange(len(full)), np.diff(bounds)[full])
     log_w = np.log(weights).astype(np.float32)
+    odd = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     out = np.zeros((len(full), BANDS), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(BANDS * ROWS):
-            z = mixed(hashes + np.uint64((k + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            i = (z & np.uint64(0xFFFF)).astype(np.int32)
-            beta = (z >> np.uint64(48)).astype(np.float32) * np.float32(2**-16)
+            # The hashes are mixed already: the upper bits of a product by an odd number are hashes anew.
+            z = (hashes * odd[k]).view(np.uint16).reshape(-1, 4)
+            i = z[:, 3]
+            beta = z[:, 2] * np.float32(2**-16)
             t = np.floor(log_w * inverse[i] + beta)
-            a = log_gamma[(z >> np.uint64(24) & np.uint64(0xFFFF)).astype(np.int32)] - gamma[i] * (t - beta + 1)
+            a = log_gamma[z[:, 1]] - gamma[i] * (t - beta + 1)
             least = a == np.minimum.reduceat(a, starts)[owner]
             at = np.flatnonzero(least)
             at = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
@@ -148,20 +152,17 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """pairs (a, b, id_a, id_b) of keys, each with a document that has it, with the Jaccard similarities by weight and by count: (a, b, sim, plain, and the sums of either side)."""
-    held = docs.sparkSession.sparkContext.broadcast(idf)
-    wanted = stage(pairs.select(F.col("a").alias("key"), F.col("id_a").alias("id")).unionAll(pairs.select("b", "id_b")).distinct(), "neardup-wanted")
-    rows = docs.select(F.unhex(F.md5(text_of(F.col(text)).cast("binary"))).alias("key"), F.col(doc_id).alias("id"), text_of(F.col(text)).alias("text"))
-    # One row of a key, whatever repeats: first() is summed up before the shuffle.
-    rows = rows.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("rows")
-    texts = join_checked(rows, wanted, ["key", "id"]).groupBy("key").agg(F.first("text").alias("text"))
-    joined = pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """pairs (a, b) of keys with the Jaccard similarities by weight and by count: (a, b, sim, plain, and the sums of either side)."""
+    held = pairs.sparkSession.sparkContext.broadcast(idf)
+    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            for first, part in slices(a, 4 << 20):
+            both = pc.binary_join_element_wise(a, b, "")
+            for first, part in slices(both, 2 << 20):
+                part = a.slice(first, len(part))
                 left = shingles(part, held.value)
                 other = b.slice(first, len(part)).dictionary_encode()
                 right = shingles(other.dictionary, held.value)
@@ -186,25 +187,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     idf = idf_table(docs, text)
     signed = stage(signatures(docs, idf, doc_id, text), "neardup-signed")
     keys = stage(signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "neardup-keys")
-    ids = keys.select("key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"))
-    rows = keys.select("key", F.posexplode("bands").alias("n", "hash")).select("key", F.xxhash64("n", "hash").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    rows = stage(rows.join(shared, "band"), "neardup-bands")
-    labels = None
-    tested = None
+    each = keys.select("key", "id", F.posexplode("bands").alias("n", "hash")).select("key", "id", F.xxhash64("n", "hash").alias("band"))
+    shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stage(each.join(shared, "band"), "neardup-bands")
+    # What a band's keys are compared by is read once: one row of a key, summed up before the shuffle.
+    ids = rows.groupBy("key").agg(F.first(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("id"), F.sum(F.col("n") - 1).alias("degree"))
+    ids = stage(ids, "neardup-compared")
+    texts = docs.select(F.unhex(F.md5(text_of(F.col(text)).cast("binary"))).alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text_of(F.col(text)).alias("text"))
+    texts = stage(join_checked(texts, ids.select("key", "id"), ["key", "id"]).groupBy("key").agg(F.first("text").alias("text")), "neardup-texts")
+    rows = rows.select("band", "key").join(ids.select("key", "degree"), "key")
+    labels = tested = reach = None
     for turn in range(PIVOTS + 1):
         now = rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        by_band = now.groupBy("band").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(turn))).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "pivot")
         if turn < PIVOTS:
-            pairs = now.join(by_band, "band").where("label <> pivot.label").select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
+            best = F.max_by(F.struct("key", "label"), F.struct("degree", "key"))
+            pivots = now.groupBy("band").agg(best.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "pivot")
+            if turn:
+                pivots = now.join(pivots.select("band", F.col("pivot.label").alias("first")), "band").where("label <> first").groupBy("band").agg(best.alias("pivot"))
+            members = now.join(pivots, "band").where("key <> pivot.key" if turn == 0 else "label <> pivot.label")
+            members = stage(members.select("band", F.col("key").alias("a"), F.col("pivot.key").alias("b")), "neardup-members")
+            pairs = members.select("a", "b").distinct()
         else:
-            pairs = _left_over(now.join(by_band, "band").select("band", "key", "label"), tested, similarity)
+            pairs = _left_over(now.select("band", "key", "label"), reach, similarity)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = stage(pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("id_a")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("id_b")), "b"), "neardup-pairs")
+        pairs = stage(pairs, "neardup-pairs")
         if not pairs.limit(1).count():
-            break
-        got = stage(similarities(pairs, docs, idf, doc_id, text), "neardup-tested")
+            if turn < PIVOTS - 1:
+                break
+            continue
+        got = stage(similarities(pairs, texts, idf), "neardup-tested")
+        if turn == 0:
+            one = F.lit(1.0)
+            reach = members.join(got, ["a", "b"]).select("band", F.col("a").alias("key"), "sim", "plain", F.col("weight_a").alias("weight"), F.col("count_a").alias("count"))
+            reach = stage(reach.unionAll(members.join(got, ["a", "b"]).groupBy("band", F.col("b").alias("key")).agg(one.alias("sim"), one.alias("plain"), F.first("weight_b"), F.first("count_b"))), "neardup-reach")
         tested = got if tested is None else tested.unionAll(got)
         links = got.where(F.greatest("sim", "plain") >= similarity).select("a", "b")
         if labels is None:
@@ -221,26 +237,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     return signed.select("doc_id", "key"), every.join(every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key")), "label")
 
 
-def _left_over(members: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+def _left_over(members: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
     """Pairs between classes of one band that the tests with pivots leave open.
 
-    d(x, pivot) is known for a band's members by then; |d(x, pivot) - d(y, pivot)| > 1 - similarity excludes a pair, and
-    so does a ratio of weights below the similarity.
+    Of a band's members the distance d to its first pivot is known by then (reach): |d(x) - d(y)| > 1 - similarity excludes
+    a pair, and so does a ratio of sums below the similarity. The largest class of a band is not paired with itself.
     """
-    both = tested.select(F.col("a").alias("key"), F.col("b").alias("other"), "sim", "plain", F.col("weight_a").alias("weight"), F.col("count_a").alias("count")).unionAll(tested.select("b", "a", "sim", "plain", "weight_b", "count_b"))
-    # What is known of a key: its sums, and its similarities to the pivots it was tested against.
-    reach = both.groupBy("key").agg(F.first("weight").alias("weight"), F.first("count").alias("count"), F.map_from_entries(F.collect_set(F.struct(F.hex("other"), F.struct("sim", "plain")))).alias("sims"))
-    known = members.join(reach, "key", "left").select("band", "key", "label", "weight", "count", "sims")
-    most = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    left = known.join(most, "band").where("label <> most").drop("most")
-    right = known.withColumnsRenamed({c: f"{c}2" for c in ("key", "label", "weight", "count", "sims")})
-
-    def excluded(sim: str, total: str):
-        apart = F.exists(F.map_keys("sims"), lambda k: F.abs(F.col("sims")[k][sim] - F.try_element_at("sims2", k)[sim]) > 1 - similarity + 1e-9)
-        return F.coalesce(apart | (F.least(total, f"{total}2") < (similarity - 1e-9) * F.greatest(total, f"{total}2")), F.lit(False))
-
-    open_pair = (F.col("label") != F.col("label2")) & ~(excluded("sim", "weight") & excluded("plain", "count"))
-    return left.join(right, "band").where(open_pair).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    known = members.join(sizes.select("band", "most"), "band").join(reach, ["band", "key"])
+    right = known.drop("most").withColumnsRenamed({c: f"{c}2" for c in ("key", "label", "sim", "plain", "weight", "count")})
+
+    def open_pair(sim: str, total: str):
+        return (F.abs(F.col(sim) - F.col(f"{sim}2")) <= 1 - similarity + 1e-9) & (F.least(total, f"{total}2") >= (similarity - 1e-9) * F.greatest(total, f"{total}2"))
+
+    pairs = known.where("label <> most").join(right, "band").where((F.col("label") != F.col("label2")) & (open_pair("sim", "weight") | open_pair("plain", "count")))
+    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
