@@ -149,3 +149,30 @@ def inside(bounds: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, dtype=bool)
     ends = np.repeat(bounds[1:], np.diff(bounds))
     return np.arange(n - k + 1) + k <= ends[: n - k + 1]
+
+
+CHUNKS = "chunk int, sums binary"
+
+
+def emit_chunks(total: np.ndarray, width: int) -> pa.RecordBatch:
+    """A vector's non-zero stretches of width numbers, as rows of CHUNKS."""
+    used = [i for i in range(0, len(total), width) if total[i : i + width].any()]
+    return pa.RecordBatch.from_arrays([pa.array([i // width for i in used], pa.int32()), pa.array([total[i : i + width].tobytes() for i in used], pa.binary())], ["chunk", "sums"])
+
+
+def add_chunks(parts: DataFrame, size: int, width: int, dtype) -> np.ndarray:
+    """The sum of vectors that tasks gave as CHUNKS. Added up on executors in a fixed number of tasks; one vector reaches the driver."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(sums.as_buffer(), dtype=dtype)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "sums"])
+
+    rows = parts.repartition(16, "chunk").mapInArrow(add, CHUNKS).toArrow()
+    out = np.zeros(size, dtype=dtype)
+    for chunk, sums in zip(rows["chunk"].to_pylist(), rows["sums"].to_pylist(), strict=True):
+        got = np.frombuffer(sums, dtype=dtype)
+        out[chunk * width : chunk * width + len(got)] = got
+    return out

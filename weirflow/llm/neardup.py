@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, fresh, hashes_of, join_checked, mixed, slices, stage, text_of, words_of
+from .common import CHUNKS, Rolling, add_chunks, emit_chunks, fresh, hashes_of, join_checked, mixed, slices, stage, text_of, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -57,23 +57,10 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
                 slot = (hashes_of(words.dictionary) % np.uint64(DF_SLOTS)).astype(np.int64)[np.asarray(words.indices)]
                 owner = np.repeat(np.arange(len(part)), np.diff(bounds))
                 df[:DF_SLOTS] += np.bincount(np.unique(owner * DF_SLOTS + slot) % DF_SLOTS, minlength=DF_SLOTS)
-        used = [i for i in range(0, len(df), DF_CHUNK) if df[i : i + DF_CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i // DF_CHUNK for i in used], pa.int32()), pa.array([df[i : i + DF_CHUNK].tobytes() for i in used], pa.binary())], ["chunk", "counts"])
+        yield emit_chunks(df, DF_CHUNK)
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts.as_buffer(), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, schema)
-    # As many rows and bytes reach the driver at every size of the corpus.
-    rows = parts.repartition(16, "chunk").mapInArrow(add, schema).toArrow()
-    df = np.zeros(DF_SLOTS + DF_CHUNK, dtype=np.int64)
-    for chunk, counts in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        df[chunk * DF_CHUNK : (chunk + 1) * DF_CHUNK] = np.frombuffer(counts, dtype=np.int64)
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, CHUNKS)
+    df = add_chunks(parts, DF_SLOTS + DF_CHUNK, DF_CHUNK, np.int64)
     return int(df[DF_SLOTS]), df[:DF_SLOTS]
 
 
