@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -82,7 +83,20 @@ def fresh(df: DataFrame, name: str) -> str:
 # --- numpy side -------------------------------------------------------------
 
 
-def slices(texts: pa.Array, limit: int = 8 << 20):
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another libc
+    _malloc_trim = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are reused, and the heap of one operator is no use to the next."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
+def slices(texts: pa.Array, limit: int = 2 << 20):
     """Cuts a batch of texts at about limit bytes, so that numpy's arrays stay small; one document is never cut."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
     start = 0
@@ -91,6 +105,7 @@ def slices(texts: pa.Array, limit: int = 8 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+    trim()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:

@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
 
     def run(batches):
         for batch in batches:
-            for first, part in slices(batch.column(2), 4 << 20):
+            for first, part in slices(batch.column(2)):
                 hashes, weights, _, bounds = shingles(part, held.value)
                 bands = np.zeros((len(part), BANDS), dtype=np.int64)
                 full = np.diff(bounds) > 0
