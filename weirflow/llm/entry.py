@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_score, mixing, neardup, pii, quality, secrets, substring
+from . import ann, decontam, lm_score, mixing, neardup, pii, quality, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_near_duplicates": neardup.op4_near_duplicates,
         "op5_lm_score": lm_score.op5_lm_score,
+        "op6_nearest_neighbours": ann.op6_nearest_neighbours,
         "op7_substring_dedup": substring.op7_substring_dedup,
         "op8_secrets": secrets.op8_secrets,
         "op9_decontamination": decontam.op9_decontamination,
