@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lm_score, mixing, neardup, pii, quality, secrets, substring
+from . import ann, decontam, lm_score, mixing, neardup, pii, quality, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_warc_revisits": warc.op2_warc_revisits,
         "op3_mixing": mixing.op3_mixing,
         "op4_near_duplicates": neardup.op4_near_duplicates,
         "op5_lm_score": lm_score.op5_lm_score,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op3_mixing": mixing.ORACLE}
