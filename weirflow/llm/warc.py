@@ -108,16 +108,16 @@ c AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(raw), '^(www|m)\
         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url
         FROM q),
 t AS (SELECT *, md5(canonical_url || ':' || floor(page_id / 5000)::BIGINT) AS tag FROM c),
-r AS (SELECT *, FALSE AS revisit, page_id * 2 AS record_id, page_id AS at, {'id': page_id, 'tag': tag, 'n': octet_length(encode(html)), 'digest': md5(html)} AS offer FROM t
+r AS (SELECT *, FALSE AS revisit, page_id * 2 AS record_id, page_id AS sec, {'id': page_id, 'tag': tag, 'n': octet_length(encode(html)), 'digest': md5(html)} AS offer FROM t
   UNION ALL SELECT *, TRUE, page_id * 2 + 1, page_id + 5000, NULL FROM t WHERE page_id % 2 = 0),
-f AS (SELECT *, last_value(offer IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY at, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
+f AS (SELECT *, last_value(offer IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY sec, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
 s AS (SELECT *, CASE WHEN NOT revisit THEN 'full' WHEN found IS NULL THEN 'unresolved' WHEN found.tag = tag THEN 'resolved' ELSE 'mismatch' END AS status FROM f)
 SELECT record_id, page_id, canonical_url, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS kind, status,
   CASE WHEN status = 'resolved' THEN found.id END AS source_page_id,
   'cache-control: max-age=' || CASE WHEN revisit THEN '120' ELSE '60' END
     || chr(10) || 'content-length: ' || CASE status WHEN 'full' THEN octet_length(encode(html)) WHEN 'resolved' THEN found.n ELSE 0 END
     || CASE WHEN status IN ('full', 'resolved') THEN chr(10) || 'content-type: text/html' ELSE '' END
-    || chr(10) || 'date: ' || at || chr(10) || 'etag: ' || tag
+    || chr(10) || 'date: ' || sec || chr(10) || 'etag: ' || tag
     || chr(10) || 'server: ' || CASE WHEN status IN ('full', 'resolved') THEN 'origin' ELSE 'edge' END AS headers,
   CASE WHEN NOT revisit THEN md5(html) WHEN status = 'resolved' THEN found.digest END AS payload_digest
 FROM s
