@@ -10,10 +10,10 @@ IDF only moves a pair near the threshold, and a pair that the plain measure hold
 
 Consistent weighted samples (BANDS x ROWS) agree with the probability of the weighted Jaccard similarity. Exact copies
 are one key (the MD5 of the text) from there on. Keys that share a band are compared with one pivot of the band, the key
-with the most neighbours (of edited copies, as a rule the original); where a band still holds several classes, with
-another pivot outside the first one's class; and what is then left between classes pair by
-pair, unless the triangle inequality of the Jaccard distance or the weights' ratio already excludes the pair. So a group
-of n near copies takes about n comparisons, and no link between candidates is lost. Classes are connected components.
+with the most neighbours (of edited copies, as a rule the original). Where a pivot's cluster then still holds several
+classes, pairs of these are compared that may reach the threshold for all that the pivot shows: what both share of the
+pivot's shingles and the shingles outside it that both have bound their similarity from above. So a group of n near copies
+takes about n comparisons, and no link between candidates is lost. Classes are connected components.
 
 Defined results: null texts count as empty; texts without words are copies if they are equal; equal texts are always in
 one class; class_id is the smallest doc_id of the class (null if it has none); repeated rows are each reported.
@@ -27,14 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNKS, Rolling, add_chunks, emit_chunks, fresh, hashes_of, join_checked, mixed, slices, stage, text_of, words_of
+from .common import CHUNKS, Rolling, add_chunks, emit_chunks, fresh, hashes_of, join_checked, mixed, slices, stage, text_of, trim, words_of
 from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
-PIVOTS = 2
+#: Members of a cluster whose leftovers are compared in one task.
+CLUSTER_ROWS = 4096
 TESTED = ["a", "b", "sim", "plain", "weight_a", "count_a", "weight_b", "count_b"]
 
 
@@ -183,62 +184,134 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     texts = docs.select(F.unhex(F.md5(text_of(F.col(text)).cast("binary"))).alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text_of(F.col(text)).alias("text"))
     texts = stage(join_checked(texts, ids.select("key", "id"), ["key", "id"]).groupBy("key").agg(F.first("text").alias("text")), "neardup-texts")
     rows = rows.select("band", "key").join(ids.select("key", "degree"), "key")
-    labels = tested = reach = None
-    for turn in range(PIVOTS + 1):
-        now = rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if turn < PIVOTS:
-            best = F.max_by(F.struct("key", "label"), F.struct("degree", "key"))
-            pivots = now.groupBy("band").agg(best.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "pivot")
-            if turn:
-                pivots = now.join(pivots.select("band", F.col("pivot.label").alias("first")), "band").where("label <> first").groupBy("band").agg(best.alias("pivot"))
-            members = now.join(pivots, "band").where("key <> pivot.key" if turn == 0 else "label <> pivot.label")
-            members = stage(members.select("band", F.col("key").alias("a"), F.col("pivot.key").alias("b")), "neardup-members")
-            pairs = members.select("a", "b").distinct()
-        else:
-            pairs = _left_over(now.select("band", "key", "label"), reach, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = stage(pairs, "neardup-pairs")
-        if not pairs.limit(1).count():
-            if turn < PIVOTS - 1:
-                break
-            continue
-        got = stage(similarities(pairs, texts, idf), "neardup-tested")
-        if turn == 0:
-            one = F.lit(1.0)
-            reach = members.join(got, ["a", "b"]).select("band", F.col("a").alias("key"), "sim", "plain", F.col("weight_a").alias("weight"), F.col("count_a").alias("count"))
-            reach = stage(reach.unionAll(members.join(got, ["a", "b"]).groupBy("band", F.col("b").alias("key")).agg(one.alias("sim"), one.alias("plain"), F.first("weight_b"), F.first("count_b"))), "neardup-reach")
-        tested = got if tested is None else tested.unionAll(got)
-        links = got.where(F.greatest("sim", "plain") >= similarity).select("a", "b")
-        if labels is None:
-            labels = components(links)
-        else:
-            known_a, known_b = (labels.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-            merged = links.join(known_a, "a", "left").join(known_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-            over = components(merged)
-            old = labels.select("key", F.col("label").alias("was")).unionAll(over.select("key", F.col("key").alias("was")).join(labels.select("key"), "key", "left_anti"))
-            labels = stage(old.join(over.select(F.col("key").alias("was"), F.col("label").alias("now")), "was", "left").select("key", F.coalesce("now", "was").alias("label")), "neardup-labels")
+    best = rows.groupBy("band").agg(F.max_by("key", F.struct("degree", "key")).alias("pivot"))
+    members = stage(rows.join(best, "band").select("key", "pivot").distinct(), "neardup-members")
+    pairs = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    tested = stage(similarities(pairs, texts, idf), "neardup-tested")
+    labels = components(tested.where(F.greatest("sim", "plain") >= similarity).select("a", "b"))
+    # What the pivots leave open: clusters of a pivot that still hold several classes.
+    members = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = members.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("pivot", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int").alias("parts"))
+    pairs = _left_over(members.join(several, "pivot"), texts, idf, similarity)
+    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    pairs = stage(pairs, "neardup-pairs")
+    links = similarities(pairs, texts, idf).where(F.greatest("sim", "plain") >= similarity).select("a", "b")
+    known_a, known_b = (labels.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    merged = links.join(known_a, "a", "left").join(known_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    over = components(merged)
+    old = labels.select("key", F.col("label").alias("was")).unionAll(over.select("key", F.col("key").alias("was")).join(labels.select("key"), "key", "left_anti"))
+    labels = stage(old.join(over.select(F.col("key").alias("was"), F.col("label").alias("now")), "was", "left").select("key", F.coalesce("now", "was").alias("label")), "neardup-labels")
     every = keys.select("key", "id")
-    every = every.withColumn("label", F.col("key")) if labels is None else every.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    every = every.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     every = stage(every, "neardup-classes")
     return signed.select("doc_id", "key"), every.join(every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key")), "label")
 
 
-def _left_over(members: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
-    """Pairs between classes of one band that the tests with pivots leave open.
+def _open_pairs(rows: dict[str, np.ndarray], residual: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one cluster, of different labels, that the pivot doesn't exclude.
 
-    Of a band's members the distance d to its first pivot is known by then (reach): |d(x) - d(y)| > 1 - similarity excludes
-    a pair, and so does a ratio of sums below the similarity. The largest class of a band is not paired with itself.
+    Two members share at most what both hold of the pivot's shingles (the smaller of the two masses) and the shingles
+    outside the pivot that both have; the latter are found by postings, most of which have one entry. So a member costs
+    one pass over vectors, whatever the pairs. By weight and by count; one of the two must be able to reach the threshold.
     """
-    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    known = members.join(sizes.select("band", "most"), "band").join(reach, ["band", "key"])
-    right = known.drop("most").withColumnsRenamed({c: f"{c}2" for c in ("key", "label", "sim", "plain", "weight", "count")})
-
-    def open_pair(sim: str, total: str):
-        return (F.abs(F.col(sim) - F.col(f"{sim}2")) <= 1 - similarity + 1e-9) & (F.least(total, f"{total}2") >= (similarity - 1e-9) * F.greatest(total, f"{total}2"))
+    label, left, right = rows["label"], rows["left"], rows["right"]
+    n = len(label)
+    owner, hashes, weights, counts = residual
+    order = np.argsort(hashes, kind="stable")
+    owner, weights, counts, hashes = owner[order], weights[order], counts[order], hashes[order]
+    cut = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] - np.uint64(1)) if len(hashes) else np.zeros(0))
+    ends = np.append(cut[1:], len(hashes))
+    code = np.repeat(np.arange(len(cut)), ends - cut)
+    shared = (ends - cut)[code] > 1
+    by_owner = np.flatnonzero(shared)[np.argsort(owner[shared], kind="stable")]
+    begins = np.searchsorted(owner[by_owner], np.arange(n + 1))
+    most = np.bincount(label).argmax()
+    out = []
+    for o in np.flatnonzero(left):
+        mine = by_owner[begins[o] : begins[o + 1]]
+        first, size = cut[code[mine]], (ends - cut)[code[mine]]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        able = np.zeros(n, dtype=bool)
+        for own, total, mass in ((weights, rows["weight"], rows["weight_in"]), (counts, rows["count"], rows["count_in"])):
+            both = np.minimum(mass[o], mass) + np.bincount(owner[at], weights=np.repeat(own[mine], size), minlength=n)
+            able |= both >= (similarity - 1e-9) * (total[o] + total - both)
+        # Of two members outside the largest class, both are on the left: one order is enough.
+        able &= right & (label != label[o]) & ((label == most) | (np.arange(n) > o) | ~left) & ~((label[o] == most) & left)
+        out.append(np.stack([np.full(able.sum(), o), np.flatnonzero(able)]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, dtype=int),) * 2
+
+
+def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): pairs of different classes around one pivot that may reach the similarity. members: key, pivot, label, parts.
+
+    A cluster of more than CLUSTER_ROWS members is cut into parts by hash, and each pair of parts is a task's work, so
+    memory is bounded at every size of a cluster.
+    """
+    held = members.sparkSession.sparkContext.broadcast(idf)
+    joined = members.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("pivot", "key", "label", "parts", "text", "pivot_text")
+    schema = "pivot binary, key binary, label binary, parts int, weight double, weight_in double, count double, count_in double, hashes array<bigint>, weights array<float>, counts array<float>"
 
-    pairs = known.where("label <> most").join(right, "band").where((F.col("label") != F.col("label2")) & (open_pair("sim", "weight") | open_pair("plain", "count")))
-    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    def residuals(batches):
+        for batch in batches:
+            both = pc.binary_join_element_wise(batch.column(4), batch.column(5), "")
+            for first, part in slices(both):
+                rows = batch.slice(first, len(part))
+                hashes, weights, counts, bounds = shingles(rows.column(4), held.value)
+                pivots = rows.column(5).dictionary_encode()
+                ph, _, _, pb = shingles(pivots.dictionary, held.value)
+                which, keep, sums = np.asarray(pivots.indices), np.zeros(len(hashes), dtype=bool), np.zeros((4, len(part)))
+                for i in range(len(part)):
+                    own, of = slice(bounds[i], bounds[i + 1]), ph[pb[which[i]] : pb[which[i] + 1]]
+                    at = np.minimum(np.searchsorted(of, hashes[own]), max(len(of) - 1, 0))
+                    keep[own] = of[at] != hashes[own] if len(of) else True
+                    for k, x in enumerate((weights, counts)):
+                        sums[2 * k : 2 * k + 2, i] = x[own].sum(), x[own][~keep[own]].sum()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(keep)])[bounds], pa.int32())
+                lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[keep].view(np.int64), weights[keep].astype(np.float32), counts[keep].astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], *map(pa.array, sums), *lists], [c.split()[0] for c in schema.split(", ")])
+
+    rows = joined.mapInArrow(residuals, schema).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    # Each part meets itself and every later part.
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with"))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("pivot", "low", "high", "part", *[c.split()[0] for c in schema.split(", ")[1:3] + schema.split(", ")[4:]]).repartition(tasks, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+
+    def compare(batches):
+        def open_pairs(t: pa.Table):
+            t = t.combine_chunks()
+            label = np.asarray(t["label"].combine_chunks().dictionary_encode().indices)
+            part, low, high = (np.asarray(t[c]) for c in ("part", "low", "high"))
+            most = np.bincount(label).argmax()
+            alone = low == high
+            facts = {c: np.asarray(t[c]) for c in ("weight", "weight_in", "count", "count_in")} | {"label": label}
+            facts["left"], facts["right"] = (label != most) & (alone | (part == low)), np.ones(len(label), dtype=bool)
+            if not alone[0]:
+                # Two parts: pairs across them, from either side's members outside the largest class.
+                facts["left"] = label != most
+            lists = [t[c].combine_chunks() for c in ("hashes", "weights", "counts")]
+            owner = np.repeat(np.arange(len(label)), np.asarray(lists[0].value_lengths()))
+            flat = [np.asarray(x.flatten()) for x in lists]
+            a, b = _open_pairs(facts, (owner, flat[0].view(np.uint64), flat[1].astype(float), flat[2].astype(float)), similarity)
+            if not alone[0]:
+                across = part[a] != part[b]
+                a, b = a[across], b[across]
+            key = t["key"].combine_chunks()
+            return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b))], ["a", "b"])
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            group = list(zip(*(table[c].to_pylist() for c in ("pivot", "low", "high")), strict=True))
+            cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1])]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield open_pairs(table.slice(i, j - i))
+            rest = table.slice(cuts[-1])
+            trim()
+        if rest is not None and rest.num_rows:
+            yield open_pairs(rest)
+
+    found = rows.mapInArrow(compare, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ joined by its hash; those without a second one end there. The others are extende
 around the seed that has it as its anchor is compared, by hash, with the runs around all other occurrences at once.
 What repeats is covered, and neighbouring runs join to maximal repeats. A group of n occurrences so costs n rows, never
 n * n pairs. Groups of at most HOT_ROWS occurrences are compared in one task; larger ones (a licence line in a third of all
-documents) by sums that are combined before the shuffle and a join whose skew is split.
+documents) in parts of about PART_ROWS, and what is alone in its part is then looked up among all others' runs.
 
 A text's key is a 64-bit hash of it, and equal texts have equal results, so copies are seeded once a task; texts that occur
 twice are repeats from end to end. Hashes of runs have 64 bits as well (and count only beside equal anchors).
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, hashes_of, inside, join_checked, slices, stage, text_of, words_of
+from .common import Rolling, hashes_of, inside, join_checked, slices, stage, text_of, trim, words_of
 
 LENGTH, SEED = 35, 16
-HOT_ROWS = 4096
+HOT_ROWS, PART_ROWS = 4096, 512
 BROADCAST_ROWS = 300_000
 
 
@@ -60,8 +60,8 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind=pa.int64()) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _seeds(keyed: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, marks): for texts with anchors that occur again, their numbers, times two, plus one for hot ones; packed int32."""
+def _seeds(keyed: DataFrame, length: int, seed: int) -> tuple[DataFrame, int]:
+    """The most occurrences of an anchor, and (key, marks): for texts with anchors that occur again, their numbers, times two, plus one for hot ones; packed int32."""
 
     def scan(batches):
         seen: set[int] = set()
@@ -77,9 +77,12 @@ def _seeds(keyed: DataFrame, length: int, seed: int) -> DataFrame:
 
     per_text = stage(keyed.mapInArrow(scan, "key bigint, anchors array<bigint>"), "substring-anchors")
     each = per_text.select("key", F.posexplode("anchors").alias("n", "anchor"))
-    again = each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", (F.col("times") > HOT_ROWS).cast("int").alias("hot"))
+    # A table of its own: Spark splits skewed keys of joins whose sides are plain exchanges only.
+    again = stage(each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "substring-again")
+    most = again.agg(F.max("times")).head()[0] or 0
+    again = again.select("anchor", (F.col("times") > HOT_ROWS).cast("int").alias("hot"))
     found = each.join(again.hint("merge"), "anchor").groupBy("key").agg(F.collect_set(F.col("n") * 2 + F.col("hot")).alias("marks"))
-    return stage(found, "substring-seeds")
+    return stage(found, "substring-seeds"), most
 
 
 def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) -> DataFrame:
@@ -108,43 +111,68 @@ def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) ->
     return join_checked(keyed, seeds, ["key"], rows=BROADCAST_ROWS).select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key bigint, start int, runs array<bigint>, hot boolean")
 
 
-def _extend(batches):
-    """Rows sorted by anchor: (key, start, bits), where bit i says that the run from start + i occurs elsewhere."""
+#: Of _extend(): bits of repeats, or (alone) runs that occur once in their group, or (many) a run that repeats in it.
+EXTENDED = "key bigint, start int, bits bigint, places array<int>, alone array<bigint>, many bigint"
+
+
+def _extend(batches, groups: int):
+    """Rows sorted by group (the first columns, so many): bit i of bits says that the run from start + i repeats in the group.
+
+    With more than one column a group is a part of an anchor's occurrences, so what doesn't repeat in it is handed on, and
+    of what does each run once.
+    """
 
     def compare(table: pa.Table):
         table = table.combine_chunks()
         key, start = np.asarray(table["key"]), np.asarray(table["start"]).astype(np.int64)
-        lists = table["runs"].combine_chunks() if isinstance(table["runs"], pa.ChunkedArray) else table["runs"]
+        lists = table["runs"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
         count = np.asarray(lists.value_lengths()).astype(np.int64)
         owner = np.repeat(np.arange(len(key)), count)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         runs = np.asarray(lists.flatten())
+        part = np.zeros(len(key), dtype=np.int64) if groups == 1 else np.asarray(table["part"]).astype(np.int64)
         # A copy that another task has seeded again is the same place.
-        order = np.lexsort((start[owner] + inner, key[owner], runs))
-        r, k, s = runs[order], key[owner][order], (start[owner] + inner)[order]
+        order = np.lexsort((start[owner] + inner, key[owner], runs, part[owner]))
+        g, r, k, s = part[owner][order], runs[order], key[owner][order], (start[owner] + inner)[order]
         new = np.ones(len(r), dtype=bool)
-        new[1:] = r[1:] != r[:-1]
+        new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
         place = new.copy()
         place[1:] |= (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        group = np.cumsum(new) - 1
+        twice = (np.bincount(np.cumsum(new) - 1, weights=place) > 1)[np.cumsum(new) - 1]
         repeats = np.zeros(len(r), dtype=bool)
-        repeats[order] = np.bincount(group, weights=place)[group] > 1
+        repeats[order] = twice
         bits = np.bincount(owner[repeats], weights=2.0 ** inner[repeats], minlength=len(key)).astype(np.int64)
-        some = bits > 0
-        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(start[some].astype(np.int32)), pa.array(bits[some])], ["key", "start", "bits"])
+        some = np.flatnonzero(bits > 0)
+        yield _rows(key[some], start[some], bits[some])
+        if groups == 1:
+            return
+        left = np.flatnonzero(~repeats)
+        who, n = np.unique(owner[left], return_counts=True)
+        yield _rows(key[who], start[who], None, (inner[left], runs[left], n))
+        yield _rows(None, None, None, None, r[new & twice])
 
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        anchor = np.asarray(table["anchor"])
-        cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if len(anchor) and anchor[0] != anchor[-1] else 0
+        ids = [np.asarray(table.column(i)) for i in range(groups)]
+        other = np.flatnonzero(np.any([x != x[-1] for x in ids], axis=0)) if table.num_rows else np.zeros(0)
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield compare(table.slice(0, cut))
+            yield from compare(table.slice(0, cut))
         rest = table.slice(cut)
+        trim()
     if rest is not None and rest.num_rows:
-        yield compare(rest)
+        yield from compare(rest)
+
+
+def _rows(key, start, bits=None, alone=None, many=None) -> pa.RecordBatch:
+    n = len(many if key is None else key)
+    none = lambda kind: pa.nulls(n, kind)
+    lists = [none(pa.list_(pa.int32())), none(pa.list_(pa.int64()))] if alone is None else [_lists(alone[0].astype(np.int32), alone[2], pa.int32()), _lists(alone[1], alone[2])]
+    first = [none(pa.int64()), none(pa.int32())] if key is None else [pa.array(key), pa.array(np.asarray(start).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*first, none(pa.int64()) if bits is None else pa.array(bits), *lists, none(pa.int64()) if many is None else pa.array(many)], [c.split()[0] for c in EXTENDED.split(", ")])
 
 
 def _intervals(batches, length: int):
@@ -163,13 +191,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     """(keyed, found): documents with their key; of each key with repeats, cover (packed intervals of words) and whole (the text occurs twice)."""
     keyed = docs.select(F.xxhash64(text_of(F.col(text))).alias("key"), text_of(F.col(text)).alias("text"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole"))
-    seeds = _seeds(keyed, length, seed)
+    seeds, most = _seeds(keyed, length, seed)
     places = stage(_occurrences(keyed, seeds, length, seed), "substring-places")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cool = places.where("not hot").select("anchor", "key", "start", "runs").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_extend, "key bigint, start int, bits bigint")
-    hot = places.where("hot").select("key", F.col("start").alias("first"), F.posexplode("runs").alias("i", "run")).select("run", "key", (F.col("first") + F.col("i")).alias("start"))
-    twice = hot.groupBy("run").agg(F.min(F.struct("key", "start")).alias("low"), F.max(F.struct("key", "start")).alias("high")).where("low <> high").select("run")
-    hot = hot.join(twice.hint("merge"), "run").select("key", "start", F.lit(1).cast("bigint").alias("bits"))
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cool = places.where("not hot").select("anchor", "key", "start", "runs").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _extend(batches, 1), EXTENDED).select("key", "start", "bits")
+    # Of hot anchors parts are compared by themselves, and then what was alone in its part with all others, run by run.
+    parts = max(1, -(-most // PART_ROWS))
+    hot = places.where("hot").select("anchor", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "start", "runs")
+    hot = stage(hot.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(lambda batches: _extend(batches, 2), EXTENDED), "substring-hot")
+    alone = hot.where("alone is not null").select("key", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
+    found = alone.select("run", F.lit(1).alias("n")).unionAll(hot.where("many is not null").select("many", F.lit(2)))
+    twice = stage(found.groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run"), "substring-twice")
+    more = alone.join(twice.hint("merge"), "run").select("key", "start", F.lit(1).cast("bigint").alias("bits"))
+    hot = hot.where("bits is not null").select("key", "start", "bits").unionAll(more)
     cover = cool.unionAll(hot).groupBy("key").agg(F.collect_list(F.struct("start", "bits")).alias("runs")).mapInArrow(lambda batches: _intervals(batches, length), "key bigint, cover binary")
     return keyed, stage(cover.join(copies, "key", "full").select("key", "cover", F.coalesce("whole", F.lit(False)).alias("whole")), "substring-found")
 
