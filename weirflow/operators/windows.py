@@ -164,7 +164,7 @@ class WindowBuilder:
                 pdf["window_id"] = ids
                 return pdf[[*names, "window_id"]]
 
-            groups = df.groupBy(*self.keys) if self.keys else df.groupBy(F.lit(0))
+            groups = df.groupBy(*self.keys) if self.keys else df.groupBy(F.lit("all"))
             out = groups.applyInPandas(scan, schema)
         if self.accumulation == "discarding":
             return out
