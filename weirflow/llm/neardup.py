@@ -207,37 +207,65 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     return signed.select("doc_id", "key"), every.join(every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key")), "label")
 
 
-def _open_pairs(rows: dict[str, np.ndarray], residual: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(rows: dict[str, np.ndarray], residual: tuple[np.ndarray, ...], missing: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one cluster, of different labels, that the pivot doesn't exclude.
 
-    Two members share at most what both hold of the pivot's shingles (the smaller of the two masses) and the shingles
-    outside the pivot that both have; the latter are found by postings, most of which have one entry. So a member costs
-    one pass over vectors, whatever the pairs. By weight and by count; one of the two must be able to reach the threshold.
+    Two members share at most what both hold of the pivot's shingles (their masses) and the shingles outside the pivot that
+    both have; the latter are found by postings, most of which have one entry. For the pairs that pass so, what one holds
+    of the pivot and the other misses comes off as well; for sets the bound is then the similarity itself. By weight and by
+    count; one of the two must be able to reach the threshold. So a member costs one pass over vectors.
+
+    residual: owner, hash, weight and count of shingles outside the pivot; missing: of each member's missed pivot shingles
+    their places, weights, and where a member's begin.
     """
-    label, left, right = rows["label"], rows["left"], rows["right"]
+    label, left = rows["label"], rows["left"]
     n = len(label)
-    owner, hashes, weights, counts = residual
+    owner, hashes, *values = residual
     order = np.argsort(hashes, kind="stable")
-    owner, weights, counts, hashes = owner[order], weights[order], counts[order], hashes[order]
-    cut = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] - np.uint64(1)) if len(hashes) else np.zeros(0))
+    owner, hashes, values = owner[order], hashes[order], [v[order] for v in values]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    cut = np.flatnonzero(new)
     ends = np.append(cut[1:], len(hashes))
     code = np.repeat(np.arange(len(cut)), ends - cut)
     shared = (ends - cut)[code] > 1
     by_owner = np.flatnonzero(shared)[np.argsort(owner[shared], kind="stable")]
     begins = np.searchsorted(owner[by_owner], np.arange(n + 1))
+    place, weight, bounds = missing
+    lacks = [np.concatenate([[0.0], np.cumsum(w)])[bounds] for w in (weight, np.ones(len(place)))]
+    lacks = [np.diff(x) for x in lacks]
+    flags = np.zeros((2, int(place.max(initial=-1)) + 1))
     most = np.bincount(label).argmax()
     out = []
     for o in np.flatnonzero(left):
         mine = by_owner[begins[o] : begins[o + 1]]
         first, size = cut[code[mine]], (ends - cut)[code[mine]]
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        able = np.zeros(n, dtype=bool)
-        for own, total, mass in ((weights, rows["weight"], rows["weight_in"]), (counts, rows["count"], rows["count_in"])):
-            both = np.minimum(mass[o], mass) + np.bincount(owner[at], weights=np.repeat(own[mine], size), minlength=n)
+        # Of two members outside the largest class both are on the left: one order is enough.
+        open_ = (label != label[o]) & ((label == most) | (np.arange(n) > o) | ~left)
+        outside, able = [], np.zeros(n, dtype=bool)
+        for own, name in zip(values, ("weight", "count"), strict=True):
+            total, mass = rows[name], rows[f"{name}_in"]
+            outside.append(np.bincount(owner[at], weights=np.repeat(own[mine], size), minlength=n))
+            both = np.minimum(mass[o], mass) + outside[-1]
             able |= both >= (similarity - 1e-9) * (total[o] + total - both)
-        # Of two members outside the largest class, both are on the left: one order is enough.
-        able &= right & (label != label[o]) & ((label == most) | (np.arange(n) > o) | ~left) & ~((label[o] == most) & left)
-        out.append(np.stack([np.full(able.sum(), o), np.flatnonzero(able)]))
+        some = np.flatnonzero(able & open_)
+        if not len(some):
+            continue
+        own = slice(bounds[o], bounds[o + 1])
+        flags[0, place[own]], flags[1, place[own]] = weight[own], 1.0
+        count = np.diff(bounds)[some]
+        whose = np.repeat(np.arange(len(some)), count)
+        theirs = place[np.repeat(bounds[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        able = np.zeros(len(some), dtype=bool)
+        for k, name in enumerate(("weight", "count")):
+            total, mass, lack = rows[name], rows[f"{name}_in"], lacks[k]
+            common = np.bincount(whose, weights=flags[k, theirs], minlength=len(some))
+            both = np.minimum(mass[o] - lack[some] + common, mass[some] - lack[o] + common) + outside[k][some]
+            able |= both >= (similarity - 1e-6) * (total[o] + total[some] - both)
+        flags[:, place[own]] = 0
+        some = some[able]
+        out.append(np.stack([np.full(len(some), o), some]))
     return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, dtype=int),) * 2
 
 
@@ -249,7 +277,7 @@ def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity
     """
     held = members.sparkSession.sparkContext.broadcast(idf)
     joined = members.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("pivot", "key", "label", "parts", "text", "pivot_text")
-    schema = "pivot binary, key binary, label binary, parts int, weight double, weight_in double, count double, count_in double, hashes array<bigint>, weights array<float>, counts array<float>"
+    schema = "pivot binary, key binary, label binary, parts int, weight double, weight_in double, count double, count_in double, hashes array<bigint>, weights array<float>, counts array<float>, missing array<int>, missing_weights array<float>"
 
     def residuals(batches):
         for batch in batches:
@@ -258,16 +286,22 @@ def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity
                 rows = batch.slice(first, len(part))
                 hashes, weights, counts, bounds = shingles(rows.column(4), held.value)
                 pivots = rows.column(5).dictionary_encode()
-                ph, _, _, pb = shingles(pivots.dictionary, held.value)
+                ph, pw, pc_, pb = shingles(pivots.dictionary, held.value)
+                unit = (pw / pc_).astype(np.float32)
+                lack = []
                 which, keep, sums = np.asarray(pivots.indices), np.zeros(len(hashes), dtype=bool), np.zeros((4, len(part)))
                 for i in range(len(part)):
                     own, of = slice(bounds[i], bounds[i + 1]), ph[pb[which[i]] : pb[which[i] + 1]]
+                    held_at = np.minimum(np.searchsorted(hashes[own], of), max(own.stop - own.start - 1, 0))
+                    lack.append(np.flatnonzero(hashes[own][held_at] != of) if own.stop > own.start else np.arange(len(of)))
                     at = np.minimum(np.searchsorted(of, hashes[own]), max(len(of) - 1, 0))
                     keep[own] = of[at] != hashes[own] if len(of) else True
                     for k, x in enumerate((weights, counts)):
                         sums[2 * k : 2 * k + 2, i] = x[own].sum(), x[own][~keep[own]].sum()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(keep)])[bounds], pa.int32())
                 lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[keep].view(np.int64), weights[keep].astype(np.float32), counts[keep].astype(np.float32)))
+                gone = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lack])]), pa.int32())
+                lists = (*lists, pa.ListArray.from_arrays(gone, pa.array(np.concatenate(lack).astype(np.int32))), pa.ListArray.from_arrays(gone, pa.array(np.concatenate([unit[pb[which[i]] + x] for i, x in enumerate(lack)]))))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:4], *map(pa.array, sums), *lists], [c.split()[0] for c in schema.split(", ")])
 
     rows = joined.mapInArrow(residuals, schema).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
@@ -280,18 +314,17 @@ def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity
         def open_pairs(t: pa.Table):
             t = t.combine_chunks()
             label = np.asarray(t["label"].combine_chunks().dictionary_encode().indices)
-            part, low, high = (np.asarray(t[c]) for c in ("part", "low", "high"))
+            part, alone = np.asarray(t["part"]), np.asarray(t["low"]) == np.asarray(t["high"])
             most = np.bincount(label).argmax()
-            alone = low == high
             facts = {c: np.asarray(t[c]) for c in ("weight", "weight_in", "count", "count_in")} | {"label": label}
-            facts["left"], facts["right"] = (label != most) & (alone | (part == low)), np.ones(len(label), dtype=bool)
-            if not alone[0]:
-                # Two parts: pairs across them, from either side's members outside the largest class.
-                facts["left"] = label != most
-            lists = [t[c].combine_chunks() for c in ("hashes", "weights", "counts")]
-            owner = np.repeat(np.arange(len(label)), np.asarray(lists[0].value_lengths()))
-            flat = [np.asarray(x.flatten()) for x in lists]
-            a, b = _open_pairs(facts, (owner, flat[0].view(np.uint64), flat[1].astype(float), flat[2].astype(float)), similarity)
+            # In two parts, pairs across them count, from either side's members outside the largest class.
+            facts["left"] = label != most
+            lists = {c: t[c].combine_chunks() for c in ("hashes", "weights", "counts", "missing", "missing_weights")}
+            owner = np.repeat(np.arange(len(label)), np.asarray(lists["hashes"].value_lengths()))
+            flat = {c: np.asarray(x.flatten()) for c, x in lists.items()}
+            begin = np.concatenate([[0], np.cumsum(np.asarray(lists["missing"].value_lengths()))])
+            residual = owner, flat["hashes"].view(np.uint64), flat["weights"].astype(float), flat["counts"].astype(float)
+            a, b = _open_pairs(facts, residual, (flat["missing"], flat["missing_weights"].astype(float), begin), similarity)
             if not alone[0]:
                 across = part[a] != part[b]
                 a, b = a[across], b[across]
