@@ -315,3 +315,26 @@ def test_late_stream(spark, tmp_path):
         SW.split_late(stream, "t", 30, str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == [0, 2]
     assert [r.ord for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [1]
+
+
+def test_streams_of_windows_and_sessions(spark, tmp_path):
+    from weirflow.streaming import windows as SW
+
+    src = str(tmp_path / "in")
+    rows = spark.createDataFrame([(t, 1) for t in at(0, 10, 70, 200, 400)], "t timestamp, k int")
+    rows.coalesce(1).write.parquet(src)
+    read = lambda: memory.folder_stream(spark, src, "t timestamp, k int", "parquet")
+    slid = SW.run_available(SW.sliding_stream(read(), "t", 120, 60, "0 seconds", ["k"], F.count("*").alias("n")).select("window.start", "n"), str(tmp_path / "slid"), "complete")
+    assert sum(r.n for r in slid.collect()) == 10
+    sessions = SW.run_available(SW.session_stream(read(), "t", 65, "0 seconds", [], F.count("*").alias("n")).select("session.start", "n"), str(tmp_path / "sessions"), "complete")
+    assert sorted(r.n for r in sessions.collect()) == [1, 1, 3]
+
+
+def test_fan_out_gives_every_sink_every_row(spark, tmp_path):
+    from weirflow.streaming import windows as SW
+
+    src = str(tmp_path / "in")
+    spark.range(300).write.parquet(src)
+    sinks_ = [lambda b, e, i=i: b.write.mode("overwrite").parquet(str(tmp_path / f"out{i}" / str(e))) for i in range(3)]
+    SW.fan_out(memory.folder_stream(spark, src, "id bigint", "parquet"), str(tmp_path / "check"), *sinks_).awaitTermination()
+    assert [spark.read.parquet(str(tmp_path / f"out{i}" / "*")).count() for i in range(3)] == [300] * 3
