@@ -34,6 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
+#: Kept documents up to which their keys are broadcast to pick their rows (about 50 MB).
+KEPT_ROWS = 300_000
 #: Members of a cluster whose leftovers are compared in one task.
 CLUSTER_ROWS = 4096
 TESTED = ["a", "b", "sim", "plain", "weight_a", "count_a", "weight_b", "count_b"]
@@ -362,7 +364,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     wins = stage(signed.select("key", text_id(F.col("doc_id")).alias("id")).join(wins, ["key", "id"]).groupBy("key", "id").agg(F.count("*").alias("n")), "neardup-kept")
     key, own, n = fresh(docs, "_key"), fresh(docs, "_id"), fresh(docs, "_n")
     rows = docs.withColumn(key, F.unhex(F.md5(text_of(F.col(text)).cast("binary")))).withColumn(own, text_id(F.col(doc_id)))
-    rows = join_checked(rows, wins.withColumnsRenamed({"key": key, "id": own, "n": n}), [key, own])
+    rows = join_checked(rows, wins.withColumnsRenamed({"key": key, "id": own, "n": n}), [key, own], rows=KEPT_ROWS)
     if not wins.where("n > 1").limit(1).count():
         return rows.select(*docs.columns)
     again = rows.where(F.col(n) > 1).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(n)).select(f"{n}.*")
