@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, hashes_of, inside, join_checked, slices, stage, text_of, trim, words_of
 
 LENGTH, SEED = 35, 16
-HOT_ROWS, PART_ROWS = 4096, 512
+HOT_ROWS, PART_ROWS = 4096, 64
 BROADCAST_ROWS = 300_000
 
 
@@ -111,8 +111,8 @@ def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) ->
     return join_checked(keyed, seeds, ["key"], rows=BROADCAST_ROWS).select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key bigint, start int, runs array<bigint>, hot boolean")
 
 
-#: Of _extend(): bits of repeats, or (alone) runs that occur once in their group, or (many) a run that repeats in it.
-EXTENDED = "key bigint, start int, bits bigint, places array<int>, alone array<bigint>, many bigint"
+#: Of _extend(): bits of repeats, and (alone) runs that occur once in their group with their places, and (many) runs that repeat in it.
+EXTENDED = "key bigint, start int, bits bigint, places array<int>, alone array<bigint>, many array<bigint>"
 
 
 def _extend(batches, groups: int):
@@ -143,14 +143,12 @@ def _extend(batches, groups: int):
         repeats = np.zeros(len(r), dtype=bool)
         repeats[order] = twice
         bits = np.bincount(owner[repeats], weights=2.0 ** inner[repeats], minlength=len(key)).astype(np.int64)
-        some = np.flatnonzero(bits > 0)
-        yield _rows(key[some], start[some], bits[some])
         if groups == 1:
+            some = np.flatnonzero(bits > 0)
+            yield _rows(key[some], start[some], bits[some])
             return
         left = np.flatnonzero(~repeats)
-        who, n = np.unique(owner[left], return_counts=True)
-        yield _rows(key[who], start[who], None, (inner[left], runs[left], n))
-        yield _rows(None, None, None, None, r[new & twice])
+        yield _rows(key, start, bits, (inner[left], runs[left], np.bincount(owner[left], minlength=len(key))), r[new & twice])
 
     rest = None
     for batch in batches:
@@ -167,12 +165,13 @@ def _extend(batches, groups: int):
         yield from compare(rest)
 
 
-def _rows(key, start, bits=None, alone=None, many=None) -> pa.RecordBatch:
-    n = len(many if key is None else key)
-    none = lambda kind: pa.nulls(n, kind)
-    lists = [none(pa.list_(pa.int32())), none(pa.list_(pa.int64()))] if alone is None else [_lists(alone[0].astype(np.int32), alone[2], pa.int32()), _lists(alone[1], alone[2])]
-    first = [none(pa.int64()), none(pa.int32())] if key is None else [pa.array(key), pa.array(np.asarray(start).astype(np.int32))]
-    return pa.RecordBatch.from_arrays([*first, none(pa.int64()) if bits is None else pa.array(bits), *lists, none(pa.int64()) if many is None else pa.array(many)], [c.split()[0] for c in EXTENDED.split(", ")])
+def _rows(key, start, bits, alone=None, many=None) -> pa.RecordBatch:
+    n = len(key)
+    lists = [_lists(np.zeros(0), np.zeros(n, dtype=int), pa.int32())] + [_lists(np.zeros(0), np.zeros(n, dtype=int))] * 2
+    if alone is not None and n:
+        # What repeats in the group stands in its first row.
+        lists = [_lists(alone[0].astype(np.int32), alone[2], pa.int32()), _lists(alone[1], alone[2]), _lists(many, np.concatenate([[len(many)], np.zeros(n - 1, dtype=int)]))]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(start).astype(np.int32)), pa.array(bits), *lists], [c.split()[0] for c in EXTENDED.split(", ")])
 
 
 def _intervals(batches, length: int):
@@ -197,13 +196,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     cool = places.where("not hot").select("anchor", "key", "start", "runs").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _extend(batches, 1), EXTENDED).select("key", "start", "bits")
     # Of hot anchors parts are compared by themselves, and then what was alone in its part with all others, run by run.
     parts = max(1, -(-most // PART_ROWS))
-    hot = places.where("hot").select("anchor", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "start", "runs")
+    hot = places.where("hot").select("anchor", F.pmod(F.xxhash64("key", "start"), F.lit(parts)).cast("int").alias("part"), "key", "start", "runs")
     hot = stage(hot.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(lambda batches: _extend(batches, 2), EXTENDED), "substring-hot")
-    alone = hot.where("alone is not null").select("key", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
-    found = alone.select("run", F.lit(1).alias("n")).unionAll(hot.where("many is not null").select("many", F.lit(2)))
+    alone = hot.where("size(alone) > 0").select("key", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
+    found = alone.select("run", F.lit(1).alias("n")).unionAll(hot.where("size(many) > 0").select(F.explode("many"), F.lit(2)))
     twice = stage(found.groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run"), "substring-twice")
     more = alone.join(twice.hint("merge"), "run").select("key", "start", F.lit(1).cast("bigint").alias("bits"))
-    hot = hot.where("bits is not null").select("key", "start", "bits").unionAll(more)
+    hot = hot.where("bits > 0").select("key", "start", "bits").unionAll(more)
     cover = cool.unionAll(hot).groupBy("key").agg(F.collect_list(F.struct("start", "bits")).alias("runs")).mapInArrow(lambda batches: _intervals(batches, length), "key bigint, cover binary")
     return keyed, stage(cover.join(copies, "key", "full").select("key", "cover", F.coalesce("whole", F.lit(False)).alias("whole")), "substring-found")
 
