@@ -247,6 +247,16 @@ def test_samples_agree_as_the_similarity():
     assert abs(np.mean(agree) - np.mean(sims)) < 0.06
 
 
+def test_bands_find_pairs_at_the_threshold():
+    r = np.random.default_rng(11)
+    n = 20_000
+    own = r.integers(0, 1 << 63, size=(n, 10), dtype=np.uint64) * np.uint64(2)
+    # Eight shingles of ten in common: of 20,000 such pairs ten bands miss 15, eight miss 64.
+    texts = np.sort(np.stack([own[:, :9], np.delete(own, 0, axis=1)], axis=1).reshape(2 * n, 9), axis=1)
+    bands = neardup.band_hashes(texts.ravel(), np.ones(texts.size), np.arange(0, texts.size + 1, 9)).reshape(n, 2, -1)
+    assert (~(bands[:, 0] == bands[:, 1]).any(axis=1)).sum() < 32
+
+
 # --- 5: language model
 
 

@@ -32,7 +32,7 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
 #: Kept documents up to which their keys are broadcast to pick their rows (about 50 MB).
 KEPT_ROWS = 300_000
