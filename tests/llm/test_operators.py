@@ -316,6 +316,22 @@ def test_neighbours(spark):
     assert [(q.query_id, q["rank"], q.vec_id, q.score) for q in sorted(few, key=lambda q: q["rank"])] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
 
 
+@pytest.mark.parametrize("n", [9, 16, 25, 40])
+def test_neighbours_of_small_tables_are_full(spark, n):
+    """Twenty rows for each query, or all candidates where there are fewer, though the nearest lists alone hold fewer."""
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    x[: n // 3, 0] += 20
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    found = Counter(q.query_id for q in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), modulus=1).collect())
+    assert found == {i: min(20, n - 1) for i in range(n)}
+
+
+def test_lists_are_probed_until_they_hold_enough():
+    lists, held_by = np.array([[0, 1, 2, 3], [3, 2, 1, 0]]), np.array([9, 0, 5, 1])
+    asks = lambda probes, least: ann.probed(lists, held_by, probes, least).sum(axis=1).tolist()
+    assert asks(1, 1) == [1, 1] and asks(1, 6) == [1, 2] and asks(1, 7) == [1, 4] and asks(2, 10) == [3, 4] and asks(3, 99) == [4, 4]
+
+
 # --- 7: repeated passages
 
 

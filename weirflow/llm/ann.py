@@ -3,7 +3,8 @@
 Vectors get one more component, sqrt(M * M - |x| * |x|) with M the largest norm (queries: 0), so that the nearest by distance is
 the one of the largest inner product. K-means on a bounded sample (SAMPLE_FLOATS numbers, by the hash of the vector) gives
 the lists; every vector is put in its nearest list. Lists are cut into blocks of about BLOCK_ROWS vectors, so a long list
-is many tasks. A query goes to all blocks of its nearest lists (PROBE_SHARE of all).
+is many tasks. A query goes to all blocks of its nearest lists (PROBE_SHARE of all, and further ones until they hold
+k + 1 vectors, so that a query gets k rows wherever there are as many candidates).
 
 In a block, vectors are turned by a random rotation and held by blocks of columns. After each block of columns the partial
 distance, scaled up, is tested against the distance of the k-th best found so far: where it is larger by more than the
@@ -61,6 +62,12 @@ def nearest(x: np.ndarray, centers: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def probed(lists: np.ndarray, held_by: np.ndarray, probes: int, least: int) -> np.ndarray:
+    """Which of its lists, nearest first, a query goes to: the first probes, and further ones until they hold least vectors."""
+    before = np.cumsum(held_by[lists], axis=1) - held_by[lists]
+    return (np.arange(lists.shape[1]) < probes) | (before < least)
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), d)
 
@@ -127,7 +134,10 @@ def search(table: DataFrame, k: int = K, probe_share: float = PROBE_SHARE, modul
 
     placed = stage(each.select("key", "ids", "v").mapInArrow(assign, "key string, ids array<bigint>, v array<double>, list int"), "ann-lists")
     # A row for each list: at most most_lists.
-    blocks = stage(placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "ann-blocks")
+    blocks = stage(placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.sum(F.size("ids")).alias("vectors")), "ann-blocks")
+    held_by = np.zeros(len(centers), dtype=np.int64)
+    for row in blocks.collect():
+        held_by[row["list"]] = row["vectors"]
     candidates = placed.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "key", "ids", "v")
     asked = rows.where(F.col("vec_id") % modulus == 0).select("vec_id", "key")
     queries = asked.select("key").distinct().join(each.select("key", "v"), "key")
@@ -136,9 +146,12 @@ def search(table: DataFrame, k: int = K, probe_share: float = PROBE_SHARE, modul
         centers, *_ = held.value
         for batch in batches:
             x = _matrix(batch.column(1), d)
-            lists = nearest(np.hstack([x, np.zeros((len(x), 1))]), centers, probes)
-            who = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(lists.ravel().astype(np.int32))], ["key", "v", "list"])
+            wider = np.hstack([x, np.zeros((len(x), 1))])
+            for i in range(0, len(x), 128):
+                lists = nearest(wider[i : i + 128], centers, len(centers))
+                asks = probed(lists, held_by, probes, k + 1)
+                who = pa.array(i + np.nonzero(asks)[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(lists[asks].astype(np.int32))], ["key", "v", "list"])
 
     sent = queries.mapInArrow(probe, "key string, v array<double>, list int").join(F.broadcast(blocks), "list")
     sent = sent.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", F.array().cast("array<bigint>").alias("ids"), "v")
