@@ -217,7 +217,9 @@ def test_tee_and_split(spark):
     v = values(spark, [i % 20 for i in range(1000)])
     a, b = R.tee(v, 2)
     assert a.count() == b.count() == 1000
-    assert R.split(v, "value").groupBy("group_id").count().where("count = 50").count() == 20
+    assert R.split(v, "value").groupBy("group").count().where("count = 50").count() == 20
+    odd = spark.createDataFrame([(None,), ("\0",), ("",)], "k string")
+    assert R.split(odd, "k").groupBy("group").count().count() == 3
 
 
 def test_records_and_ranges(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import aggregates as A
 from weirflow.operators import joins as J
 from weirflow.operators import ordering as O
+from weirflow.operators import windows as W
 from weirflow.plans.inspect import operators, scan_facts
 from weirflow.plans.queries import QUERIES
 
@@ -48,9 +49,50 @@ def test_no_python_in_relational_plans(spark, name):
     assert not {"MapInArrow", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"} & set(got)
 
 
-def test_global_row_numbers_come_from_blocks(spark):
+def test_global_row_numbers_come_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 500)
     o = O.Ordered(spark.range(0, 5000, 1, 3), [F.col("id")])
-    blocks = o.rows.groupBy(O.BLOCK).count().collect()
-    assert len(blocks) > 1 and max(b["count"] for b in blocks) < 5000
+    blocks = o.rows.groupBy(O.BLOCK).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy(O.BLOCK).collect()
+    assert len(blocks) > 5 and max(b.n for b in blocks) < 1500 and all(a.hi < b.lo for a, b in zip(blocks, blocks[1:], strict=False))
     df = O.with_row_number(spark.range(0, 5000, 1, 3), "id")
     assert df.agg(F.min("row_number"), F.max("row_number"), F.countDistinct("row_number")).head() == (1, 5000, 5000)
+
+
+def test_the_order_writes_nothing_and_shuffles_its_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 50)
+    written = []
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    for name in ("parquet", "save", "saveAsTable"):
+        monkeypatch.setattr(DataFrameWriter, name, lambda *a, **k: written.append(a))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for df in (W.count_window(events, 7, "event_id"), W.triggered_window(events, W.ValueChangeTrigger("event_type"), "event_id"), W.triggered_window(events, W.ConditionTrigger(F.col("value") > 90), "event_id")):
+        got = operators(df)
+        # Of the exchanges one deals the rows; the others carry what blocks give.
+        assert got["Exchange"] <= 4 and got["BroadcastHashJoin"] == 1 and not got["SortMergeJoin"]
+    assert not written
+
+
+@pytest.mark.parametrize("order", [["a"], [F.desc], ["b", "a"], [F.asc_nulls_last, "a"], [F.desc_nulls_first, "a"]])
+def test_blocks_keep_every_order(spark, monkeypatch, order):
+    """Row numbers by blocks against one window over all rows, with NULLs, NaN, ties and both directions."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(O, "BLOCK_ROWS", 30)
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float((i * 37) % 50), (i * 13) % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b bigint").repartition(3)
+    by = [c("a") if callable(c) else F.col(c) for c in order] + [F.col("id")]
+    got = {r.id: r.n for r in O.with_row_number(df, by, "n").collect()}
+    assert got == {r.id: r.n for r in df.withColumn("n", F.row_number().over(Window.orderBy(*by))).collect()}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(12,3)", "boolean", "binary", "int", "array<int>"])
+def test_blocks_of_every_type(spark, monkeypatch, kind):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 10)
+    made = {"date": "date_add(date'1969-12-01', cast(id as int))", "timestamp": "timestamp_seconds(id * 1000003 - 50000000)", "timestamp_ntz": "cast(timestamp_seconds(id * 1000003) as timestamp_ntz)", "binary": "cast(cast(id as string) as binary)", "boolean": "id > 50", "array<int>": "array(cast(id as int))"}
+    df = spark.range(100).select(F.expr(made.get(kind, f"cast(id as {kind})")).alias("v"), "id").repartition(3)
+    o = O.Ordered(df, [F.col("v")])
+    ends = o.rows.groupBy(O.BLOCK).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy(O.BLOCK)
+    rows = ends.collect()
+    assert all(x.hi < y.lo for x, y in zip(rows, rows[1:], strict=False))
+    assert len(rows) > {"boolean": 1, "array<int>": 0}.get(kind, 5)

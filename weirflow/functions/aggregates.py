@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,11 +103,11 @@ def sum_of(name: str, extract: Column) -> Spec:
 
 
 def min_of(name: str, extract: Column) -> Spec:
-    return Spec(name, lambda df: F.min(extract))
+    return Spec(name, lambda df: _or_zero(F.min(extract), df.select(extract).schema[0].dataType))
 
 
 def max_of(name: str, extract: Column) -> Spec:
-    return Spec(name, lambda df: F.max(extract))
+    return Spec(name, lambda df: _or_zero(F.max(extract), df.select(extract).schema[0].dataType))
 
 
 def avg_of(name: str, extract: Column) -> Spec:
@@ -153,19 +154,30 @@ def aggregate_scalar(df: DataFrame, spec: Spec) -> object:
 def running_group_summary(df: DataFrame, keys: list[str], interval: int, order_by: str) -> DataFrame:
     """After every `interval` rows in order: total_processed, active_groups, largest_group_key, largest_group_count.
 
-    Of equal counts the key that reached the count first is the largest; a last, incomplete interval gives no row.
-    The largest count up to a row only grows, so prefix maxima do it: counts within keys, then prefixes over all rows by
-    blocks of the range-partitioned order (see operators.ordering), so no task sees all rows.
+    Rows that tie in the order come by their keys. Of equal counts the key that reached the count first is the largest; a
+    last, incomplete interval gives no row. The label of a key is its text (NULL for a NULL key), that of several keys a JSON
+    array of theirs, so different keys have different labels.
+
+    Rows are numbered within blocks of the order (see operators.ordering). What a block gives is a count for each of its
+    keys, so neither all rows nor those of a hot key meet in one task; the largest count up to a row only grows, so prefix
+    maxima do the rest.
     """
-    from ..operators.ordering import Ordered
+    from ..operators.ordering import BLOCK, Ordered
 
     if interval <= 0:
         raise ValueError("interval must be positive")
-    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
-    rows = df.select(F.col(order_by).alias("ord"), key.alias("key"), F.count("*").over(Window.partitionBy(*keys).orderBy(order_by)).alias("c"))
-    o = Ordered(rows, [F.col("ord")])
-    best = F.struct("c", (-F.col("n")).alias("n"), "key")
-    out = o.prefix(n=("count", F.lit(1)))
-    o2 = Ordered.of(out)
-    out = o2.prefix(best=("max", best), active=("sum", (F.col("c") == 1).cast("long")))
+    text = [F.col(k).cast("string") for k in keys]
+    label = text[0] if len(keys) == 1 else F.to_json(F.array(*text))
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(order_by).alias("ord"), label.alias("key"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)))
+    o = Ordered(rows, [F.col("ord"), *(F.col(n) for n in named)])
+    counts = o.rows.groupBy(BLOCK, *named).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*named).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(BLOCK).alias("_b"), *(F.col(n).alias(f"{n}_") for n in named), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(BLOCK, *named).orderBy("ord"))
+    same = (F.col(BLOCK) == F.col("_b")) & reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{n}_")) for n in named))
+    o.rows = o.rows.withColumn("_own", own).join(counts, same).withColumn("c", F.col("_before") + F.col("_own")).select("ord", "key", *named, BLOCK, "c")
+    o.rows = o.rows.withColumn("_at", F.row_number().over(o.within()))
+    best = F.struct("c", (-F.col(BLOCK)).alias("b"), (-F.col("_at")).alias("n"), "key")
+    out = o.prefix(n=("count", F.lit(1)), best=("max", best), active=("sum", (F.col("c") == 1).cast("long")))
     return out.where(F.col("n") % interval == 0).select(F.col("n").alias("total_processed"), F.col("active").alias("active_groups"), F.col("best.key").alias("largest_group_key"), F.col("best.c").alias("largest_group_count"))

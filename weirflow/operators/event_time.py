@@ -73,8 +73,7 @@ def with_watermark(df: DataFrame, ts: str, arrival, delay_seconds: int, keys: li
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         top = rows.withColumn("_top", F.max("_ts").over(w))
     else:
-        upto = Ordered(rows, order).prefix(_upto=("max", F.col("_ts")))
-        top = plain(Ordered.of(upto).lag(F.col("_upto"), "_l").withColumn("_top", F.col("_l.v"))).drop("_l", "_upto")
+        top = plain(Ordered(rows, order).prefix(current=False, _top=("max", F.col("_ts"))))
     return top.withColumn("watermark", F.col("_top") - F.make_dt_interval(secs=F.lit(delay_seconds))).drop("_top", "_ts")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import get_or, zero
-from .ordering import _columns
+from .ordering import Ordered, _columns, plain
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -56,8 +56,12 @@ def limit(df: DataFrame, n: int, order_by) -> DataFrame:
 
 
 def offset(df: DataFrame, n: int, order_by) -> DataFrame:
-    """Without the first n rows in order."""
-    return df.orderBy(*_columns(order_by)).offset(max(n, 0))
+    """Without the first n rows in order, sorted: rows are numbered by blocks of the order, so no task sees all of them."""
+    order = _columns(order_by)
+    if n <= 0:
+        return df.orderBy(*order)
+    rows = plain(Ordered(df, order).prefix(_rn=("count", F.lit(1))))
+    return rows.where(F.col("_rn") > n).drop("_rn").orderBy(*order)
 
 
 def pipe(*steps: Step) -> Step:
@@ -80,8 +84,11 @@ def tee(df: DataFrame, n: int, keep: bool = False) -> list[DataFrame]:
 
 
 def split(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by key with a group number column group_id; all groups whole. Per-group code: .groupBy(keys).applyInPandas."""
-    return df.withColumn("group_id", F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys))).repartition(*keys)
+    """Rows dealt by key, all groups whole; the column group is the struct of the typed keys (NULL is a key of its own).
+
+    Per-group code: per_group(), or groupBy("group").
+    """
+    return df.withColumn("group", F.struct(*keys)).repartition(*keys)
 
 
 def split_write(df: DataFrame, path: str, *keys: str) -> None:

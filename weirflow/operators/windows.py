@@ -11,20 +11,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import Ordered, _columns, plain
+from .ordering import BLOCK, Ordered, _columns, blocks_before, plain
 
 
-def _numbered(df: DataFrame, order_by, keys: list[str] | None) -> DataFrame:
+def _numbered(df: DataFrame, order_by, keys: list[str] | None) -> tuple[DataFrame, Column]:
+    """Rows with their number _rn from 1 (within keys, if given), and how many there are."""
     if keys:
-        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order_by))).cast("long"))
-    return plain(Ordered(df, _columns(order_by)).prefix(_rn=("count", F.lit(1))))
+        rows = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order_by))).cast("long"))
+        return rows, F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    o = Ordered(df, _columns(order_by))
+    return plain(o.prefix(_rn=("count", F.lit(1)))), F.lit(o.total)
 
 
 def count_window(df: DataFrame, size: int, order_by, keys: list[str] | None = None) -> DataFrame:
     """Consecutive blocks of `size` rows, the last one as it is; window_id from 0 (within keys, if given)."""
     if size <= 0:
         raise ValueError("size must be positive")
-    return _numbered(df, order_by, keys).withColumn("window_id", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+    return _numbered(df, order_by, keys)[0].withColumn("window_id", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
 
 
 def sliding_count_window(df: DataFrame, size: int, step: int, order_by, keys: list[str] | None = None) -> DataFrame:
@@ -34,11 +37,8 @@ def sliding_count_window(df: DataFrame, size: int, step: int, order_by, keys: li
     """
     if size <= 0 or not 0 < step <= size:
         raise ValueError("size must be positive and step within 1 .. size")
-    rows = _numbered(df, order_by, keys)
-    if keys:
-        rows = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    else:
-        rows = rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    rows, every = _numbered(df, order_by, keys)
+    rows = rows.withColumn("_all", every)
     first = F.greatest(F.lit(0), F.ceil((F.col("_rn") - size) / step)).cast("long")
     last = F.least(F.floor((F.col("_rn") - 1) / step), F.floor((F.col("_all") - size) / step)).cast("long")
     return rows.where((F.col("_all") >= size) & (first <= last)).withColumn("window_id", F.explode(F.sequence(first, last))).drop("_rn", "_all")
@@ -50,8 +50,6 @@ class CountTrigger:
 
     n: int
 
-    def fire(self) -> Column:
-        return F.col("_rn") % self.n == 0
 
 
 @dataclass(frozen=True)
@@ -75,16 +73,36 @@ class ConditionTrigger:
 
 
 def triggered_window(df: DataFrame, trigger, order_by, keys: list[str] | None = None) -> DataFrame:
-    """The row on which the trigger fires closes its window; the rows after the last firing are a window too."""
-    value = F.col(trigger.field) if isinstance(trigger, ValueChangeTrigger) else F.lit(0)
+    """The row on which the trigger fires closes its window; the rows after the last firing are a window too.
+
+    Without keys, what the blocks of the order before a row give is a number of firings, found in one pass over the columns
+    that the trigger needs. Of a change of value a block also gives its first and last values, as its first row fires by
+    the last one of the block before.
+    """
+    if isinstance(trigger, CountTrigger):
+        return count_window(df, trigger.n, order_by, keys)
+    changes = isinstance(trigger, ValueChangeTrigger)
+    value = F.struct((F.col(trigger.field) if changes else F.lit(0)).alias("v"))
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_columns(order_by))
-        rows = df.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(F.struct(value.alias("v"))).over(w)).withColumn("_fire", trigger.fire().cast("long"))
-        return rows.withColumn("window_id", F.coalesce(F.sum("_fire").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rn", "_lag", "_fire")
-    rows = Ordered(df, _columns(order_by)).prefix(_rn=("count", F.lit(1)))
-    rows = Ordered.of(rows).lag(value, "_lag").withColumn("_fire", trigger.fire().cast("long"))
-    rows = Ordered.of(rows).prefix(_fired=("sum", F.col("_fire")))
-    return plain(rows.withColumn("window_id", F.col("_fired") - F.col("_fire"))).drop("_rn", "_lag", "_fire", "_fired")
+        rows = df.withColumn("_lag", F.lag(value).over(w)).withColumn("_fire", trigger.fire().cast("long"))
+        return rows.withColumn("window_id", F.coalesce(F.sum("_fire").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_lag", "_fire")
+    o = Ordered(df, _columns(order_by))
+    if not changes:
+        rows = o.prefix(current=False, window_id=("sum", trigger.fire().cast("long")))
+        return plain(rows.withColumn("window_id", F.coalesce("window_id", F.lit(0))))
+    if o.alone:
+        return plain(triggered_window(o.rows, trigger, order_by, [BLOCK]))
+    # Rows that tie in the order are told apart by the value, so that both passes see one order.
+    w = o.within(F.col(trigger.field))
+    rows = o.rows.withColumn("_lag", F.lag(value).over(w)).withColumn("_end", F.lead(F.lit(True)).over(w).isNull())
+    change = F.col("_lag").isNotNull() & trigger.fire()
+    ends = rows.groupBy(BLOCK).agg(F.count_if(change).alias("n"), F.max(F.when(F.col("_lag").isNull(), value)).alias("first"), F.max(F.when(F.col("_end"), value)).alias("last"))
+    ends = ends.withColumn("_before", F.last("last").over(blocks_before())).withColumn("_opens", F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col("first.v")))
+    ends = ends.select(BLOCK, "_opens", F.coalesce(F.sum(F.col("n") + F.col("_opens").cast("long")).over(blocks_before()), F.lit(0)).alias("_fired"))
+    rows = o.joined(rows.drop("_end"), ends).withColumn("_fire", F.when(F.col("_lag").isNull(), F.col("_opens")).otherwise(trigger.fire()).cast("long"))
+    closed = F.coalesce(F.sum("_fire").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return plain(rows.withColumn("window_id", F.col("_fired") + closed)).drop("_lag", "_opens", "_fired", "_fire")
 
 
 def time_window(df: DataFrame, arrival: str, duration: str) -> DataFrame:
@@ -190,12 +208,20 @@ def session_window(df: DataFrame, arrival: str, tie: str, timeout_seconds: float
         inside = F.col("_act").isNotNull() | (F.col("_at") - F.col("_last") <= timeout_seconds)
         return rows.where(inside).withColumn("session_id", F.col("_n") - 1).drop("_at", "_act", "_last", "_new", "_n")
     o = Ordered(df.withColumn("_at", seconds).withColumn("_act", act), _columns([arrival, tie]))
-    rows = o.prefix(_upto=("max", F.col("_act")))
-    rows = Ordered.of(rows).lag(F.col("_upto"), "_lag").withColumn("_last", F.col("_lag.v"))
-    rows = rows.withColumn("_new", (F.col("_act").isNotNull() & (F.col("_last").isNull() | (F.col("_at") - F.col("_last") > timeout_seconds))).cast("long"))
-    rows = plain(Ordered.of(rows).prefix(_n=("sum", F.col("_new"))))
+    if o.alone:
+        return plain(session_window(o.rows.drop("_at", "_act"), arrival, tie, timeout_seconds, is_activity, [BLOCK]))
+    gap = lambda at, last: F.coalesce(at - last > timeout_seconds, F.lit(False))
+    w = o.within().rowsBetween(Window.unboundedPreceding, -1)
+    rows = o.rows.withColumn("_own", F.max("_act").over(w))
+    # A block gives its first and last activity and the sessions that open after its first one.
+    ends = rows.groupBy(BLOCK).agg(F.min("_act").alias("first"), F.max("_act").alias("last"), F.count_if(F.col("_act").isNotNull() & gap(F.col("_act"), F.col("_own"))).alias("n"))
+    ends = ends.withColumn("_old", F.max("last").over(blocks_before())).withColumn("opens", F.col("first").isNotNull() & (F.col("_old").isNull() | gap(F.col("first"), F.col("_old"))))
+    ends = ends.select(BLOCK, "_old", F.coalesce(F.sum(F.col("n") + F.col("opens").cast("long")).over(blocks_before()), F.lit(0)).alias("_opened"))
+    rows = o.joined(rows, ends).withColumn("_last", F.coalesce("_own", "_old"))
+    rows = rows.withColumn("_new", (F.col("_act").isNotNull() & (F.col("_last").isNull() | gap(F.col("_at"), F.col("_last")))).cast("long"))
+    rows = plain(rows.withColumn("_n", F.col("_opened") + F.sum("_new").over(o.within().rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     inside = F.col("_act").isNotNull() | (F.col("_at") - F.col("_last") <= timeout_seconds)
-    return rows.where(inside).withColumn("session_id", F.col("_n") - 1).drop("_at", "_act", "_upto", "_lag", "_last", "_new", "_n")
+    return rows.where(inside).withColumn("session_id", F.col("_n") - 1).drop("_at", "_act", "_own", "_old", "_opened", "_last", "_new", "_n")
 
 
 WindowFilter = Callable[[DataFrame], DataFrame]

@@ -93,7 +93,7 @@ def tee_branches(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def split_by_key(spark, d):
-    return R.split(table(spark, d, "events"), "event_type").groupBy("group_id").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).drop("group_id")
+    return R.split(table(spark, d, "events"), "event_type").groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select("group.event_type", "n", "total")
 
 
 @query("SELECT event_type, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY event_type")
