@@ -101,6 +101,10 @@ def test_joins(spark):
     assert J.inner_join(left, right, "dept", "id").columns == ["dept", "left.name", "id", "right.name"]
     over = {r.dept: r.name for r in J.left_join(left, right, "dept", "id", prefixes=("", "")).collect()}
     assert over == {9: "none", 1: "hr", 2: "it", None: "nil"}
+    safe = sorted(J.full_join(left, right, "dept", "id", prefixes=("", ""), null_safe=True).select("dept", "name", "id").collect(), key=str)
+    assert [tuple(r) for r in safe] == [(1, "hr", 1), (2, "it", 2), (9, "none", None), (None, "law", 3), (None, "null", None)]
+    kept = {r.id: r.name for r in J.right_join(left, right, "dept", "id", prefixes=("", "")).collect()}
+    assert kept == {1: "hr", 2: "it", 3: "law", None: "null"}
     with pytest.raises(TypeError):
         J.inner_join(left, right, "name", "id")
     big, small = spark.createDataFrame([(1_000_000,)], "a bigint"), spark.createDataFrame([(1e6,)], "b double")
@@ -182,6 +186,50 @@ def test_group_summary_ties(spark):
     assert [tuple(r) for r in out] == [(2, 2, "a", 1), (4, 2, "b", 2), (6, 2, "a", 3)]
 
 
+def test_group_summary_counts_rows_that_tie(spark, monkeypatch):
+    """Rows of one place in the order come by key; a key's label is its own; blocks give what one window would."""
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "a")], "ord bigint, k string")
+    out = A.running_group_summary(df, ["k"], 2, "ord").orderBy("total_processed").collect()
+    assert [tuple(r) for r in out] == [(2, 1, "a", 2), (4, 2, "a", 3)]
+    odd = spark.createDataFrame([(1, "a|b", "c"), (2, "a", "b|c"), (3, "a", None), (4, None, "a")], "ord bigint, x string, y string")
+    assert [tuple(r) for r in A.running_group_summary(odd, ["x", "y"], 4, "ord").collect()] == [(4, 4, '["a|b","c"]', 1)]
+    many = [(i // 3, "xyz"[(i * 7) % 5 % 3]) for i in range(300)]
+    df = spark.createDataFrame(many, "ord bigint, k string").repartition(3)
+    monkeypatch.setattr(O, "BLOCK_ROWS", 40)
+    got = [tuple(r) for r in A.running_group_summary(df, ["k"], 10, "ord").orderBy("total_processed").collect()]
+    seen, want, best = {}, [], (0, "")
+    for n, (_, k) in enumerate(sorted(many), 1):
+        seen[k] = seen.get(k, 0) + 1
+        best = (seen[k], k) if seen[k] > best[0] else best
+        if n % 10 == 0:
+            want.append((n, len(seen), best[1], best[0]))
+    assert got == want
+
+
+@pytest.mark.parametrize("rows", [16_384, 25])
+def test_global_windows_equal_those_of_one_key(spark, monkeypatch, rows):
+    """Triggers, sessions, running values and late rows without keys, in one block and in many, against those within one key."""
+    monkeypatch.setattr(O, "BLOCK_ROWS", rows)
+    data = [(i, t, None if i % 9 == 0 else (i // 4) % 3, i % 5 == 0) for i, t in enumerate(at(*[i * 3 + (40 if i > 150 else 0) + (i * 7) % 5 for i in range(300)]))]
+    df = spark.createDataFrame(data, "ord bigint, t timestamp, value bigint, a boolean").withColumn("k", F.lit(1)).repartition(3)
+    same = lambda f: sorted(map(str, f(None).collect())) == sorted(map(str, f(["k"]).collect()))
+    for trigger in (W.ValueChangeTrigger("value"), W.CountTrigger(7), W.ConditionTrigger(F.col("a"))):
+        assert same(lambda keys, trigger=trigger: W.triggered_window(df, trigger, "ord", keys))
+    assert same(lambda keys: W.session_window(df, "t", "ord", 14, F.col("a"), keys).select(*df.columns, "session_id"))
+    assert same(lambda keys: W.sliding_count_window(df, 20, 7, "ord", keys))
+    assert same(lambda keys: G.running_stats(df, "value", "ord", keys).select(*df.columns, "count", "sum", "min", "max", "avg"))
+    assert same(lambda keys: E.with_watermark(df, "t", ["ord"], 10, keys))
+    assert [r.ord for r in R.offset(df, 290, "ord").collect()] == list(range(290, 300)) and R.offset(df, 400, "ord").count() == 0
+
+
+def test_extractors_over_nothing(spark):
+    none = spark.createDataFrame([], "a int, s string")
+    specs = A.sum_of("s", F.col("a") + 1), A.min_of("lo", F.col("a") * 2), A.max_of("hi", F.length("s")), A.avg_of("m", F.col("a")), A.min_of("t", F.col("s"))
+    assert tuple(A.aggregates(none, *specs).head()) == (0, 0, 0, 0.0, "")
+    some = spark.createDataFrame([(1, "xx"), (3, "y")], "a int, s string")
+    assert tuple(A.aggregates(some, *specs).head()) == (6, 2, 2, 2.0, "xx")
+
+
 def test_event_time(spark):
     rows = spark.createDataFrame([(t,) for t in at(0, 59.6, 61, 200)], "t timestamp")
     out = E.tumbling(rows, "t", 60).groupBy("window_start").count().orderBy("window_start").collect()
@@ -253,6 +301,39 @@ def test_delimited(spark, tmp_path):
     assert files.read_delimited(spark, write(tmp_path, "b.txt", "1\t2\n"), header=False).columns == ["field_0", "field_1"]
 
 
+def test_delimited_header_goes_by_place(spark, tmp_path):
+    """Rows that equal the header stay, whether a file is one task's or many."""
+    df = files.read_delimited(spark, write(tmp_path, "a.txt", "a\tb\na\tb\n1\t2\n"))
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "2"), ("a", "b")]
+    (tmp_path / "more").mkdir()
+    for i in range(3):
+        write(tmp_path / "more", f"{i}.txt", "a\tb\n" + f"a\tb\n{i}\tx\"y\n" * 2000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = files.read_delimited(spark, str(tmp_path / "more"))
+        assert df.rdd.getNumPartitions() > 6
+        assert {tuple(r) for r in df.groupBy("a", "b").count().collect()} == {("a", "b", 6000), *((str(i), 'x"y', 2000) for i in range(3))}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_is_split_unless_cells_hold_line_breaks(spark, tmp_path):
+    plain = write(tmp_path, "a.csv", "id,s\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(2000)))
+    broken = write(tmp_path, "b.csv", "id,s\n" + "".join(f'{i},"x\ny"\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        one, two = files.read_csv(spark, plain), files.read_csv(spark, broken)
+        assert one.rdd.getNumPartitions() > 4 and two.rdd.getNumPartitions() == 1
+        assert one.count() == two.count() == 2000 and two.where("s = 'x\ny'").count() == 2000 and one.where("s = concat('x, \"', id, '\"')").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quoted_tsv(spark, tmp_path):
+    df = files.read_tsv(spark, write(tmp_path, "a.tsv", 'id\tname\n1\t"a\tb"\n2\t"say ""hi"""\n'))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "a\tb"), (2, 'say "hi"')]
+
+
 def test_json(spark, tmp_path):
     df = files.read_json(spark, write(tmp_path, "a.json", '{"a": 1, "b": [1, 2]}\n\n{"a": 2}\n'))
     assert df.count() == 2

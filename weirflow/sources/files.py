@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from ..functions.coerce import typed_cells
 
 
-def read_csv(spark: SparkSession, path, header: bool = True, headers: list[str] | None = None, types: dict[str, str] | None = None, sep: str = ",", typed: bool = True) -> DataFrame:
-    """Quoted cells as in RFC 4180. Without a header row columns are col0, col1, ...; headers renames the first ones, the rest are extra_col{i}.
+def read_csv(spark: SparkSession, path, header: bool = True, headers: list[str] | None = None, types: dict[str, str] | None = None, sep: str = ",", typed: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """Quoted cells as in RFC 4180. Files are split among tasks unless a cell holds a line break, when a file is one task's.
+
+    multi_line=None looks for such cells in a pass over the lines: a record that goes on in the next line has an odd number
+    of quotes in its first. False saves the pass. Without a header row columns are col0, col1, ...; headers renames the first ones, the rest are extra_col{i}.
 
     An empty file gives no rows (and no columns without headers).
     """
-    raw = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", emptyValue="", nullValue="\0").csv(path)
+    if multi_line is None:
+        multi_line = bool(spark.read.text(path).where("(length(value) - length(replace(value, '\"'))) % 2 = 1").limit(1).count())
+    raw = spark.read.options(header=header, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST", emptyValue="", nullValue="\0").csv(path)
     if not raw.columns:
         return spark.createDataFrame([], ", ".join(f"`{h}` string" for h in headers) if headers else "col0 string")
     n = len(raw.columns)
@@ -39,17 +44,16 @@ def read_delimited(spark: SparkSession, path, sep: str = "\t", header: bool = Tr
 
     Cells beyond the headers are dropped, missing ones are NULL. Without a header row columns are field_0, field_1, ...
     """
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    parts = F.split("value", re.escape(sep))
+    # As one column of a CSV file without quotes, so that the reader drops each file's first line, wherever files are cut.
+    lines = spark.read.options(header=header, sep="\uffff", quote="", maxCharsPerColumn=-1).csv(path)
+    if not lines.columns:
+        return spark.createDataFrame([], ", ".join(f"`{h}` string" for h in headers) if headers else "field_0 string")
+    first = lines.columns[0]
+    lines, parts = lines.toDF("value"), F.split("value", re.escape(sep))
     if header:
-        first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).where("block = 0")
-        heads = first.groupBy("file").agg(F.min_by("value", "id").alias("head"))
-        top = heads.orderBy("file").limit(1).collect()
-        names = headers or ([x.strip() for x in top[0].head.split(sep)] if top else [])
-        lines = lines.join(F.broadcast(heads), "file").where("not (block = 0 and value = head)")
+        names = headers or [x.strip() for x in first.split(sep)]
     else:
-        width = lines.agg(F.max(F.size(parts))).head()[0] or 0
-        names = headers or [f"field_{i}" for i in range(width)]
+        names = headers or [f"field_{i}" for i in range(lines.agg(F.max(F.size(parts))).head()[0] or 0)]
     rows = lines.where(F.trim("value") != "")
     raw = rows.select(*(F.trim(F.try_element_at(parts, F.lit(i + 1))).alias(n) for i, n in enumerate(names)))
     return typed_cells(raw, types) if typed and names else raw
