@@ -77,13 +77,28 @@ def with_watermark(df: DataFrame, ts: str, arrival, delay_seconds: int, keys: li
     return top.withColumn("watermark", F.col("_top") - F.make_dt_interval(secs=F.lit(delay_seconds))).drop("_top", "_ts")
 
 
-def late_split(df: DataFrame, ts: str, arrival, seconds: int, delay_seconds: int, allowed_lateness: int = 0, policy: str = "drop") -> DataFrame:
-    """Rows with their tumbling window and late: its end (plus the allowed lateness) is not after the watermark on arrival.
+def late_split(df: DataFrame, ts: str, arrival, seconds: int, delay_seconds: int, allowed_lateness: int = 0, policy: str = "drop", slide: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Rows with their window and late: its end (plus the allowed lateness) is not after the watermark on arrival.
 
-    policy: "drop" leaves late rows out, "side_output" keeps all with the flag, "update" keeps all as if on time.
+    Windows are tumbling, or with slide sliding, where a row can be late for some of its windows. policy: "drop" leaves late
+    rows out, "side_output" keeps all with the flag, "update" keeps all as if on time. keys: a watermark for each key.
     """
-    rows = tumbling(with_watermark(df, ts, arrival, delay_seconds), ts, seconds, standardize=False)
-    late = F.coalesce(F.col("window_end") + F.make_dt_interval(secs=F.lit(allowed_lateness)) <= F.col("watermark"), F.lit(False))
+    marked = with_watermark(df, ts, arrival, delay_seconds, keys)
+    rows = sliding(marked, ts, seconds, slide, standardize=False) if slide else tumbling(marked, ts, seconds, standardize=False)
+    return _by_policy(rows, F.col("window_end"), allowed_lateness, policy)
+
+
+def late_for_sessions(df: DataFrame, ts: str, arrival, timeout: int, delay_seconds: int, allowed_lateness: int = 0, policy: str = "drop", keys: list[str] | None = None) -> DataFrame:
+    """Rows with late: a session of their time alone would have ended (plus the allowed lateness) by the watermark on arrival.
+
+    What is left goes to session(). Policies are those of late_split().
+    """
+    rows, _ = event_time(with_watermark(df, ts, arrival, delay_seconds, keys), ts, standardize=False)
+    return _by_policy(rows, F.col("_ts") + F.make_dt_interval(secs=F.lit(timeout)), allowed_lateness, policy).drop("_ts")
+
+
+def _by_policy(rows: DataFrame, end: Column, allowed_lateness: int, policy: str) -> DataFrame:
+    late = F.coalesce(end + F.make_dt_interval(secs=F.lit(allowed_lateness)) <= F.col("watermark"), F.lit(False))
     rows = rows.withColumn("late", late)
     if policy == "drop":
         return rows.where(~F.col("late")).drop("late")

@@ -6,7 +6,7 @@ Global windows are computed over blocks of the order (see ordering.Ordered), so
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,14 +111,29 @@ def time_window(df: DataFrame, arrival: str, duration: str) -> DataFrame:
     return df.withColumn("window_start", w["start"]).withColumn("window_end", w["end"])
 
 
+@dataclass
+class _Open:
+    """The window of a key that is open: its number, rows since the count began, microseconds of its start and of the last firing."""
+
+    window: int = 0
+    n: int = 0
+    start: int | None = None
+    fired: int | None = None
+
+
 @dataclass(frozen=True)
 class WindowBuilder:
     """Windows closed by the first of several triggers; all triggers start anew when one fires (carry=True: only that one).
 
     on_count(n): so many rows since the start. on_time(s): the arrival is s seconds or more after the window's first one.
     on_processing_time(s): s seconds or more since the last firing (or the first row). on(column): a boolean column.
-    Without triggers everything is one window. Time triggers depend on where the window before has ended, row after row, so
-    rows of one key are scanned in one task; give keys for more.
+    Without triggers everything is one window. allow_lateness(s): rows whose event time is more than s seconds behind the
+    largest one that has arrived before are left out; apply() then needs the column of event times. Rows without an arrival
+    are left out.
+
+    Time triggers depend on where the window before has ended, one window after another. So rows of one key pass one task,
+    sorted, as a stream of batches that holds no more than a batch; a batch costs a few lookups a window. Give keys for more
+    tasks.
     """
 
     count: int | None = None
@@ -126,13 +141,11 @@ class WindowBuilder:
     interval: float | None = None
     condition: str | None = None
     carry: bool = False
-    allowed_lateness: str | None = None
+    lateness: float | None = None
     accumulation: str = "discarding"
     keys: tuple[str, ...] = field(default=())
 
     def _with(self, **more) -> WindowBuilder:
-        from dataclasses import replace
-
         return replace(self, **more)
 
     def on_count(self, n: int) -> WindowBuilder:
@@ -147,8 +160,8 @@ class WindowBuilder:
     def on(self, column: str) -> WindowBuilder:
         return self._with(condition=column)
 
-    def allow_lateness(self, duration: str) -> WindowBuilder:
-        return self._with(allowed_lateness=duration)
+    def allow_lateness(self, seconds: float) -> WindowBuilder:
+        return self._with(lateness=seconds)
 
     def accumulating(self) -> WindowBuilder:
         """Each window also holds the rows of those before it (within its key)."""
@@ -157,39 +170,86 @@ class WindowBuilder:
     def discarding(self) -> WindowBuilder:
         return self._with(accumulation="discarding")
 
-    def apply(self, df: DataFrame, arrival: str, tie: str) -> DataFrame:
+    def _advance(self, t, hit, at: _Open):
+        """Window numbers of a key's next rows: t in microseconds, ascending; hit: where the condition holds."""
+        import numpy as np
+
+        ids, i, m, span = np.empty(len(t), dtype=np.int64), 0, len(t), lambda s: round(s * 1e6)
+        while i < m:
+            at.start = int(t[i]) if at.start is None else at.start
+            at.fired = int(t[i]) if at.fired is None else at.fired
+            due = [m]
+            if self.count is not None:
+                due.append(i + max(self.count - at.n, 1) - 1)
+            if self.seconds is not None:
+                due.append(max(i, int(np.searchsorted(t, at.start + span(self.seconds)))))
+            if self.interval is not None:
+                due.append(max(i, int(np.searchsorted(t, at.fired + span(self.interval)))))
+            k = int(np.searchsorted(hit, i))
+            if k < len(hit):
+                due.append(int(hit[k]))
+            j = min(due)
+            ids[i : j + 1] = at.window
+            at.n += min(j + 1, m) - i
+            if j >= m:
+                break
+            now = int(t[j])
+            by_time = self.seconds is not None and now - at.start >= span(self.seconds)
+            by_interval = self.interval is not None and now - at.fired >= span(self.interval)
+            at.n = 0 if not self.carry or self.count is not None and at.n >= self.count else at.n
+            at.start = None if not self.carry or by_time else at.start
+            at.fired = now if not self.carry or by_interval else at.fired
+            at.window += 1
+            i = j + 1
+        return ids
+
+    def apply(self, df: DataFrame, arrival: str, tie: str, event_time: str | None = None) -> DataFrame:
         """df with window_id, over rows by arrival and tie."""
+        names = df.columns
+        if self.lateness is not None:
+            if event_time is None:
+                raise ValueError("lateness needs the column of event times")
+            from .event_time import with_watermark
+
+            marked = with_watermark(df, event_time, [arrival, tie], self.lateness, list(self.keys))
+            df = marked.where(F.col("watermark").isNull() | (F.col(event_time) >= F.col("watermark"))).select(*names)
         if self.seconds is None and self.interval is None and self.condition is None:
             out = count_window(df, self.count, [arrival, tie], list(self.keys)) if self.count else df.withColumn("window_id", F.lit(0).cast("long"))
         else:
-            names, schema, b = df.columns, df.withColumn("window_id", F.lit(0).cast("long")).schema, self
-
-            def scan(key, pdf):
-                pdf = pdf.sort_values([arrival, tie], kind="stable").reset_index(drop=True)
-                at = pdf[arrival].astype("int64") / {"ns": 1e9, "us": 1e6}[pdf[arrival].dt.unit]
-                ids, window, n, start, fired = [], 0, 0, None, None
-                for i, t in enumerate(at):
-                    start = t if start is None else start
-                    fired = t if fired is None else fired
-                    n += 1
-                    ids.append(window)
-                    hits = {"n": b.count is not None and n >= b.count, "s": b.seconds is not None and t - start >= b.seconds, "p": b.interval is not None and t - fired >= b.interval, "c": b.condition is not None and bool(pdf[b.condition][i])}
-                    if any(hits.values()):
-                        window += 1
-                        start = None if not b.carry or hits["s"] else start
-                        n = 0 if not b.carry or hits["n"] else n
-                        fired = t if not b.carry or hits["p"] else fired
-                pdf["window_id"] = ids
-                return pdf[[*names, "window_id"]]
-
-            groups = df.groupBy(*self.keys) if self.keys else df.groupBy(F.lit("all"))
-            out = groups.applyInPandas(scan, schema)
+            out = self._scanned(df, arrival, tie)
         if self.accumulation == "discarding":
             return out
         last = out.groupBy(*self.keys).agg(F.max("window_id").alias("_last")) if self.keys else out.agg(F.max("window_id").alias("_last"))
         joined = out.join(last, list(self.keys)) if self.keys else out.crossJoin(F.broadcast(last))
         return joined.withColumn("window_id", F.explode(F.sequence("window_id", "_last"))).drop("_last")
 
+    def _scanned(self, df: DataFrame, arrival: str, tie: str) -> DataFrame:
+        rows = df.where(F.col(arrival).isNotNull())
+        rows = rows.repartition(*self.keys) if self.keys else rows.repartition(1)
+        rows = rows.sortWithinPartitions(*self.keys, arrival, tie)
+        keyed = rows.select("*", F.unix_micros(F.col(arrival).cast("timestamp")).alias("_us"), F.coalesce(F.col(self.condition), F.lit(False)).alias("_hit") if self.condition else F.lit(False).alias("_hit"), F.struct(*(self.keys or [F.lit(0)])).alias("_key"))
+        schema, n = df.withColumn("window_id", F.lit(0).cast("long")).schema, len(df.columns)
+
+        def scan(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            here, at = None, _Open()
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, hits = (np.asarray(batch.column(i)) if i == n else batch.column(i).to_numpy(zero_copy_only=False) for i in (n, n + 1))
+                keys = batch.column(n + 2).to_pylist()
+                cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if self.keys else [0, len(keys)]
+                ids = []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if self.keys and (here is None or keys[a] != here):
+                        here, at = keys[a], _Open()
+                    ids.append(self._advance(t[a:b], np.flatnonzero(hits[a:b]), at))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.concatenate(ids))], schema.names)
+
+        return keyed.mapInArrow(scan, schema)
+
 
 def session_window(df: DataFrame, arrival: str, tie: str, timeout_seconds: float, is_activity: Column, keys: list[str] | None = None) -> DataFrame:
     """Sessions by arrival: an activity opens one or extends it to timeout after it; other rows ride along; those outside are dropped.

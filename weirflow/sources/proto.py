@@ -168,18 +168,26 @@ def read_protobuf(spark: SparkSession, path: str, descriptors: bytes, message: s
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write below _temporary, the driver gives committed parts their names: on the file system of the path's URI."""
+
     def __init__(self, path: str, descriptors: bytes, message: str, json_lines: bool):
         self.path, self.descriptors, self.message, self.json_lines = path, descriptors, message, json_lines
 
+    def _place(self):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:/") else (fs.LocalFileSystem(), self.path)
+        return system, path.rstrip("/")
+
     def write(self, rows) -> WriterCommitMessage:
         import uuid
 
         from google.protobuf import json_format
 
-        cls = message_class(self.descriptors, self.message)
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.{'jsonl' if self.json_lines else 'pb'}")
-        with open(f"{name}.tmp", "wb") as out:
+        cls, (system, path) = message_class(self.descriptors, self.message), self._place()
+        name = f"part-{uuid.uuid4().hex}.{'jsonl' if self.json_lines else 'pb'}"
+        system.create_dir(f"{path}/_temporary", recursive=True)
+        with system.open_output_stream(f"{path}/_temporary/{name}") as out:
             for row in rows:
                 m = from_python(cls(), row.asDict())
                 out.write((json_format.MessageToJson(m, indent=None) + "\n").encode() if self.json_lines else delimited(m))
@@ -188,22 +196,24 @@ class _Writer(DataSourceWriter):
         return message
 
     def commit(self, messages) -> None:
-        # Only what committed attempts wrote gets its name; others' files are removed.
+        # Only what committed attempts wrote gets its name; others' files go with the folder.
+        system, path = self._place()
+        system.create_dir(path, recursive=True)
         for m in messages:
             if m is not None:
-                os.replace(f"{m.name}.tmp", m.name)
-        for f in os.listdir(self.path):
-            if f.endswith(".tmp"):
-                os.remove(os.path.join(self.path, f))
+                system.move(f"{path}/_temporary/{m.name}", f"{path}/{m.name}")
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(f"{m.name}.tmp"):
-                os.remove(f"{m.name}.tmp")
+        from pyarrow import fs
+
+        system, path = self._place()
+        if system.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
+            system.delete_dir(f"{path}/_temporary")
 
 
 def write_protobuf(df: DataFrame, path: str, descriptors: bytes, message: str, json_lines: bool = False) -> None:
-    """Messages of the rows, columns without a field skipped, into a folder (a path that executors can open)."""
+    """Messages of the rows, columns without a field skipped, into a folder: a local path or a URI that pyarrow opens (hdfs, s3, gs, file)."""
 
     class Sink(DataSource):
         @classmethod

@@ -29,54 +29,51 @@ def running_stats_stream(df: DataFrame, key: str, value: str, order: str) -> Dat
 
 
 def windowed_stream(df: DataFrame, key: str, order: str, count: int | None = None, timeout_ms: int | None = None) -> DataFrame:
-    """A row for each closed window of a key: window_id and size. It closes at `count` rows, or when no row has come for timeout_ms."""
-    kind = df.schema[key].dataType.simpleString()
+    """Every row, as it comes, with the window_id (from 0) of its key's window; rows of a micro-batch in the given order.
+
+    A window closes at `count` rows, or where no row has come for timeout_ms. Rows are not held back, so the state of a key
+    is three numbers.
+    """
+    out, names = T.StructType([*df.schema.fields, T.StructField("window_id", T.LongType())]), df.columns
 
     def step(k, frames, state: GroupState):
+        import numpy as np
         import pandas as pd
 
-        window, size = state.get if state.exists else (0, 0)
-        closed = []
-        if state.hasTimedOut:
-            closed, window, size = ([(k[0], window, size)] if size else []), window + 1, 0
-        else:
-            for _ in range(sum(len(f) for f in frames)):
-                size += 1
-                if count and size >= count:
-                    closed.append((k[0], window, size))
-                    window, size = window + 1, 0
-        state.update((window, size))
-        if timeout_ms and size:
-            state.setTimeoutDuration(timeout_ms)
-        if closed:
-            yield pd.DataFrame(closed, columns=[key, "window_id", "size"])
-
-    how = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return df.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, window_id bigint, size bigint", "window_id bigint, size bigint", "append", how)
-
-
-def activity_sessions_stream(df: DataFrame, key: str, activity: str, timeout_ms: int) -> DataFrame:
-    """A row for each ended session of a key: session_id and size. Rows of activity open and extend it, others ride along, those outside are dropped."""
-    kind = df.schema[key].dataType.simpleString()
+        pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
+        window, size, last = state.get if state.exists else (0, 0, 0)
+        now = state.getCurrentProcessingTimeMs()
+        if timeout_ms and size and now - last > timeout_ms:
+            window, size = window + 1, 0
+        place = size + np.arange(len(pdf))
+        pdf["window_id"] = window + (place // count if count else 0)
+        window, size = (window + (size + len(pdf)) // count, (size + len(pdf)) % count) if count else (window, size + len(pdf))
+        state.update((int(window), int(size), int(now)))
+        yield pdf[[*names, "window_id"]]
+
+    return df.groupBy(key).applyInPandasWithState(step, out, "window_id bigint, size bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def activity_sessions_stream(df: DataFrame, key: str, activity: str, order: str, timeout_ms: int) -> DataFrame:
+    """Rows of sessions, as they come, with session_id (from 0 within the key); rows of a micro-batch in the given order.
+
+    A row of activity opens a session or extends it to timeout_ms after its arrival, others ride along, those outside are
+    dropped. Rows of one micro-batch arrive at once.
+    """
+    out, names = T.StructType([*df.schema.fields, T.StructField("session_id", T.LongType())]), df.columns
 
     def step(k, frames, state: GroupState):
+        import numpy as np
         import pandas as pd
 
-        session, size, deadline = state.get if state.exists else (0, 0, 0)
-        ended = []
-        if state.hasTimedOut:
-            ended, session, size = ([(k[0], session, size)] if size else []), session + 1, 0
-        else:
-            for f in frames:
-                for active in f[activity].fillna(False).astype(bool):
-                    if active:
-                        deadline = state.getCurrentProcessingTimeMs() + timeout_ms
-                    size += bool(active) or size > 0
-        state.update((session, int(size), deadline))
-        if size:
-            # The timeout lapses with every call, so what is left of it is set anew.
-            state.setTimeoutDuration(max(1, deadline - state.getCurrentProcessingTimeMs()))
-        if ended:
-            yield pd.DataFrame(ended, columns=[key, "session_id", "size"])
-
-    return df.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, session_id bigint, size bigint", "session_id bigint, size bigint, deadline bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
+        session, deadline = state.get if state.exists else (-1, -1)
+        now, active = state.getCurrentProcessingTimeMs(), pdf[activity].fillna(False).astype(bool).to_numpy()
+        begins = 0 if now <= deadline else int(np.argmax(active)) if active.any() else len(pdf)
+        session += now > deadline and bool(active.any())
+        pdf = pdf.iloc[begins:].assign(session_id=session)
+        state.update((int(session), int(now + timeout_ms if active.any() else deadline)))
+        if len(pdf):
+            yield pdf[[*names, "session_id"]]
+
+    return df.groupBy(key).applyInPandasWithState(step, out, "session_id bigint, deadline bigint", "append", GroupStateTimeout.NoTimeout)
