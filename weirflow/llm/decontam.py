@@ -6,7 +6,8 @@ to maximal matches. The longest match whose words are not marked yet is marked,
 what is marked of an item is its coverage, whatever the order of its passages in the document.
 
 The benchmark is the stated query set: it is held in blocks of at most BLOCK_CHARS characters, each broadcast by itself,
-and every block sees every document. Documents are neither shuffled nor joined.
+and every block sees every document. Documents are neither shuffled nor joined. What is listed at once is the shared seeds of
+one document and one item, at most SEED_PAIRS; where repeated words make more, the same tiles are found by scans instead.
 
 Defined results: null or empty texts on either side match nothing; items of fewer than `seed` words have no tiles;
 repeated rows are each reported; an item without id is reported with a null item_id.
@@ -28,6 +29,8 @@ SEED = 5
 #: A document with this share of an item's words in tiles is contaminated by it.
 COVERAGE = 0.5
 BLOCK_CHARS = 16_000_000
+#: Shared seeds (places in the document times places in the item) that are listed at once.
+SEED_PAIRS = 1 << 20
 
 
 def normal(texts: pa.Array) -> pa.Array:
@@ -64,6 +67,49 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray, see
     return out
 
 
+def scanned_tiles(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """The same tiles as tiles(), without a list of shared seeds: for texts that repeat a few words thousands of times.
+
+    The longest match of words not marked yet is found by halving its length: the Karp-Rabin hashes of all unmarked runs of
+    a length in one text are looked up among those of the other. Memory is that of the texts.
+    """
+    hashes = Rolling(doc), Rolling(item)
+    marked = np.zeros(len(doc), dtype=np.int64), np.zeros(len(item), dtype=np.int64)
+    out: list[tuple[int, int, int]] = []
+
+    def shared(n: int) -> tuple[int, int] | None:
+        """Where the first unmarked run of n words that both have begins, in the document and in the item."""
+        runs, free = [], []
+        for h, m in zip(hashes, marked, strict=True):
+            sums = np.concatenate([[0], np.cumsum(m)])
+            runs.append(h.runs(n))
+            free.append(np.flatnonzero(sums[n:] == sums[: len(sums) - n]))
+        if not len(free[0]) or not len(free[1]):
+            return None
+        theirs = runs[1][free[1]]
+        found = np.flatnonzero(np.isin(runs[0][free[0]], theirs))
+        if not len(found):
+            return None
+        i = int(free[0][found[0]])
+        return i, int(free[1][np.flatnonzero(theirs == runs[0][i])[0]])
+
+    most = min(len(doc), len(item))
+    while most >= seed and (best := shared(seed)):
+        low, high = seed, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            at = shared(middle)
+            low, high, best = (middle, high, at) if at else (low, middle - 1, best)
+        i, j = best
+        out.append((i, j, low))
+        marked[0][i : i + low] = 1
+        marked[1][j : j + low] = 1
+        most = low
+        if marked[1].sum() > len(item) - seed:
+            break
+    return out
+
+
 class Items:
     """One block of the benchmark, ready for lookups."""
 
@@ -96,14 +142,30 @@ class Items:
             rows = np.searchsorted(bounds, at, side="right") - 1
             cuts = np.flatnonzero(np.diff(rows, prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
-                n = count[a:b]
-                where = np.repeat(low[a:b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                place, row = np.repeat(at[a:b], n), rows[a]
-                items, starts = self.item[where], self.start[where]
-                for k in np.unique(items):
-                    mine, begin, end = items == k, self.bounds[k], self.bounds[k + 1]
-                    cover = tiles(own[bounds[row] : bounds[row + 1]], self.words[begin:end], place[mine] - bounds[row], starts[mine] - begin, self.seed)
-                    yield first + int(row), int(k), int(end - begin), sum(t[2] for t in cover), len(cover)
+                row = rows[a]
+                doc = own[bounds[row] : bounds[row + 1]]
+                for k, cover in self._covers(doc, at[a:b] - bounds[row], low[a:b], count[a:b]):
+                    yield first + int(row), k, int(self.bounds[k + 1] - self.bounds[k]), sum(t[2] for t in cover), len(cover)
+
+    def _covers(self, doc: np.ndarray, at: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, list]]:
+        """Tiles of each item that shares seeds with a document. at: their places in it; low, count: where each stands in the index."""
+        # Each distinct seed's entries once, and how often the document has it: items by the pairs of places that they share.
+        seeds, which, times = np.unique(low, return_inverse=True, return_counts=True)
+        size = np.zeros(len(seeds), dtype=np.int64)
+        size[which] = count
+        entry = np.repeat(seeds - np.cumsum(size) + size, size) + np.arange(size.sum())
+        seed_of, item_of = np.repeat(np.arange(len(seeds)), size), self.item[entry]
+        order = np.argsort(item_of, kind="stable")
+        places, begin = np.argsort(which, kind="stable"), np.cumsum(times) - times
+        for part in np.split(order, np.flatnonzero(np.diff(item_of[order])) + 1):
+            k, own = int(item_of[part[0]]), seed_of[part]
+            item, start = self.words[self.bounds[k] : self.bounds[k + 1]], self.start[entry[part]] - self.bounds[k]
+            n = times[own]
+            if n.sum() > SEED_PAIRS:
+                yield k, scanned_tiles(doc, item, self.seed)
+                continue
+            here = at[places[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+            yield k, tiles(doc, item, here, np.repeat(start, n), self.seed)
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, seed: int) -> Iterator[Items]:
