@@ -5,6 +5,8 @@ only start the model (a piece of rank r weighs 1 / (r + 10)); ITERATIONS of expe
 documents' words turn them into probabilities, all segmentations weighted. A word is written with a leading mark as in
 the vocabulary, and white space separates words, so a text's probability is the product of its words' and the end's. Each
 distinct word's is found once, by a forward recursion in log space; characters outside the vocabulary fall back to bytes.
+Words are taken together as long as they have PART_CHARS characters; one of more than LONG_WORD is taken by itself, place
+after place, with the pieces of SLICE_CHARS places at a time.
 
 Beside it stands the base model, add-one smoothed word frequencies. Word counts are those of all training documents. The
 HOT_WORDS most frequent words are looked up in a broadcast table; occurrences of all others are joined to the word table
@@ -29,6 +31,7 @@ from .common import CHUNKS, Rolling, add_chunks, emit_chunks, id_text, mixed, sl
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT_WORDS = 65_536
 ITERATIONS = 2
+PART_CHARS, LONG_WORD, SLICE_CHARS = 500_000, 1024, 65_536
 MARK = "▁"
 
 
@@ -73,6 +76,11 @@ class Lattice:
         size = size[order]
         joined = "".join(texts.take(pa.array(order)).to_pylist())
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        return order, *self._pieces(chars, size)
+
+    def _pieces(self, chars: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The same for characters of words of those sizes (one word, if none are given), without an order."""
+        size = np.array([len(chars)]) if size is None else size
         first = np.cumsum(size) - size
         roll, left = Rolling(mixed(chars)), np.repeat(first + size, size) - np.arange(len(chars))
         ids = np.full((min(self.longest, int(size[0])) + 1, len(chars)), -1, dtype=np.int32)
@@ -86,7 +94,7 @@ class Lattice:
         others, which = np.unique(chars[unknown], return_inverse=True)
         ids[1, unknown] = len(self.log_p) + which
         spelt = [[self.bytes[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in others]
-        return order, size, first, ids, np.concatenate([self.log_p, [self.log_p[s].sum() for s in spelt], [-np.inf]]), spelt
+        return size, first, ids, np.concatenate([self.log_p, [self.log_p[s].sum() for s in spelt], [-np.inf]]), spelt
 
     def _forward(self, size, first, ids, log_p, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Log sums of all paths from a word's begin (or to its end) to each place, and where each word's places begin."""
@@ -105,8 +113,53 @@ class Lattice:
             out[base[:n] + (size[:n] - j if back else j)] = now
         return out, base
 
+    def _long(self, word: str, times: float = 0.0) -> tuple[float, np.ndarray | None]:
+        """The log probability of one long word; with times also how often each piece is used in so many occurrences."""
+        chars = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n, most = len(chars), self.longest
+
+        def slices_of(starts):
+            """Of each place of a slice: log probabilities of the pieces of 1, 2, ... characters that begin there; the pieces; spellings."""
+            for a in starts:
+                b = min(a + SLICE_CHARS, n)
+                _, _, ids, log_p, spelt = self._pieces(chars[a : min(b + most - 1, n)].astype(np.uint64))
+                yield a, b, ids[1:, : b - a].T, log_p, spelt
+
+        starts = range(0, n, SLICE_CHARS)
+        alpha = np.full(n + most + 1, -np.inf)
+        alpha[0] = 0
+        for a, b, ids, log_p, _ in slices_of(starts):
+            steps = log_p[ids]
+            for i in range(a, b):
+                to = alpha[i + 1 : i + 1 + steps.shape[1]]
+                np.logaddexp(to, alpha[i] + steps[i - a], out=to)
+        whole = float(alpha[n])
+        if not times:
+            return whole, None
+        beta = np.full(n + most + 1, -np.inf)
+        beta[n] = 0
+        used = np.zeros(len(self.log_p))
+        for a, b, ids, log_p, spelt in slices_of(reversed(starts)):
+            steps, k = log_p[ids], ids.shape[1]
+            for i in range(b - 1, a - 1, -1):
+                beta[i] = np.logaddexp.reduce(steps[i - a] + beta[i + 1 : i + 1 + k])
+            ends = beta[np.arange(a, b)[:, None] + np.arange(1, k + 1)]
+            weight = times * np.exp(alpha[a:b, None] + steps + ends - whole)
+            some = ids >= 0
+            own = np.bincount(ids[some], weights=weight[some], minlength=len(log_p))
+            for c, s in enumerate(spelt):
+                np.add.at(own, s, own[len(self.log_p) + c])
+            used += own[: len(self.log_p)]
+        return whole, used
+
     def likelihoods(self, words: pa.Array) -> np.ndarray:
         """The log probability (natural) of each word over all segmentations."""
+        long = np.asarray(pc.utf8_length(words)) > LONG_WORD
+        if long.any():
+            out = np.empty(len(words))
+            out[~long] = self.likelihoods(words.filter(pa.array(~long)))
+            out[long] = [self._long(w)[0] for w in words.filter(pa.array(long)).to_pylist()]
+            return out
         if not len(words):
             return np.zeros(0)
         order, size, first, ids, log_p, _ = self._arcs(words)
@@ -117,6 +170,12 @@ class Lattice:
 
     def expected(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations of so many occurrences of the words."""
+        long = np.asarray(pc.utf8_length(words)) > LONG_WORD
+        if long.any():
+            one_by_one = (self._long(w, c)[1] for w, c in zip(words.filter(pa.array(long)).to_pylist(), counts[long].tolist(), strict=True))
+            return sum(one_by_one, self.expected(words.filter(pa.array(~long)), counts[~long]))
+        if not len(words):
+            return np.zeros(len(self.log_p))
         order, size, first, ids, log_p, spelt = self._arcs(words)
         alpha, base = self._forward(size, first, ids, log_p)
         beta, _ = self._forward(size, first, ids, log_p, back=True)
@@ -133,10 +192,20 @@ class Lattice:
         return out[: len(self.log_p)]
 
 
-def _parts(n: int, most: int = 20_000) -> list[tuple[int, int]]:
+def _parts(n: int, most: int) -> list[tuple[int, int]]:
     return [(i, min(most, n - i)) for i in range(0, n, most)]
 
 
+def _word_parts(words: pa.Array) -> list[tuple[int, int]]:
+    """Begin and number of words whose characters are PART_CHARS together, or of one longer word."""
+    ends, out, start = np.cumsum(np.asarray(pc.utf8_length(words)).astype(np.int64) + 1), [], 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_CHARS, side="right")))
+        out.append((start, stop - start))
+        start = stop
+    return out
+
+
 def lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
@@ -168,7 +237,7 @@ def fit(words: DataFrame, path: str = VOCABULARY, iterations: int = ITERATIONS)
         def expect(batches, held=held, size=size):
             total = np.zeros(size)
             for batch in batches:
-                for i, n in _parts(batch.num_rows):
+                for i, n in _word_parts(batch.column(0)):
                     total += held.value.expected(batch.column(0).slice(i, n), np.asarray(batch.column(1).slice(i, n)).astype(float))
             yield emit_chunks(total, 4096)
 
@@ -190,7 +259,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_WORDS, d
 
     def rate(batches):
         for batch in batches:
-            for i, n in _parts(batch.num_rows):
+            for i, n in _word_parts(batch.column(0)):
                 part = batch.slice(i, n)
                 out = held.value.likelihoods(part.column(0))
                 out[np.asarray(pc.equal(part.column(0), ""))] = held.value.log_end
