@@ -15,6 +15,8 @@ records beyond the named ones are dropped.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ from .common import id_text, stage, text_of
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid|sessionid|sid)(=|$)"
 #: Headers by which a 304 response updates the stored one (RFC 9110, 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Records in one stretch of time, about.
-STRETCH_ROWS, MOST_STRETCHES = 20_000, 512
+#: Records in one stretch of time, about, and the most stretches: their bounds stand in the plan. A stretch of more than
+#: STRETCH_ROWS records (beyond 1.3 billion of them) is sorted with spilling.
+STRETCH_ROWS, MOST_STRETCHES = 20_000, 65_536
 
 
 def canonical_url(url: Column) -> Column:
@@ -53,10 +56,13 @@ def resolve(records: DataFrame) -> DataFrame:
     rows = stage(rows, "warc-records")
     n = rows.count()
     cuts = min(MOST_STRETCHES, n // STRETCH_ROWS)
-    bounds = rows.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), F.array(*(F.lit(i / (cuts + 1)) for i in range(1, cuts + 1))), 10_000)).head()[0] if cuts else None
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= at)) if bounds else F.lit(0)
-    rows = rows.withColumn("stretch", stretch)
+    shares = F.from_json(F.lit(json.dumps([i / (cuts + 1) for i in range(1, cuts + 1)])), "array<double>")
+    bounds = sorted(set(rows.agg(F.percentile_approx(at, shares, F.lit(max(10_000, 8 * cuts)))).head()[0] or [])) if cuts else []
+    rows, table, step = rows.withColumn("stretch", F.lit(0)), F.from_json(F.lit(json.dumps(bounds)), "array<bigint>"), 1 << max(0, len(bounds).bit_length() - 1)
+    while bounds and step:  # a binary search: the number of bounds that are not after the record
+        reached = F.coalesce(at >= F.get(table, F.col("stretch") + (step - 1)), F.lit(False))
+        rows, step = rows.withColumn("stretch", F.col("stretch") + F.when(reached, step).otherwise(0)), step >> 1
     usable = F.col("url").isNotNull() & F.col("ts").isNotNull()
     offer = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "payload_digest"))
     near = Window.partitionBy("url", "stretch").orderBy("ts", "record_id")
@@ -79,15 +85,15 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """The pages table as a crawl. Page p is fetched at second p (record 2p); even pages are asked for again 5000 seconds later and answer 304 (record 2p + 1). Entity tags are those of the URL and its version, which changes every 5000 pages."""
-    tag = F.md5(F.concat(canonical_url(F.col("url").cast("string")), F.lit(":"), F.floor(F.col("page_id") / 5000).cast("string")).cast("binary"))
-    both = lambda at: [F.lit("etag"), F.coalesce(tag, F.lit("")), F.lit("date"), id_text(at)]
+    """The pages table as a crawl. Page p is fetched at second p (record 2p) and asked for again 5000 seconds later, when it answers 304 (record 2p + 1). Entity tags are those of the URL and its version, which changes every 5000 pages; where page p isn't divisible by 3, the 304 names the tag of the version that is current then."""
+    tag = lambda more: F.md5(F.concat(canonical_url(F.col("url").cast("string")), F.lit(":"), (F.floor(F.col("page_id") / 5000) + more).cast("string")).cast("binary"))
+    both = lambda at, tag: [F.lit("etag"), F.coalesce(tag, F.lit("")), F.lit("date"), id_text(at)]
     first, again = F.col("page_id"), F.col("page_id") + 5000
-    full = F.create_map(*both(first), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(text_of(F.col("html"))).cast("string"), F.lit("server"), F.lit("origin"))
-    short = F.create_map(*both(again), F.lit("cache-control"), F.lit("max-age=120"), F.lit("content-length"), F.lit("0"), F.lit("server"), F.lit("edge"))
+    full = F.create_map(*both(first, tag(F.lit(0))), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(text_of(F.col("html"))).cast("string"), F.lit("server"), F.lit("origin"))
+    short = F.create_map(*both(again, tag(F.when(F.col("page_id") % 3 == 0, 0).otherwise(1))), F.lit("cache-control"), F.lit("max-age=120"), F.lit("content-length"), F.lit("0"), F.lit("server"), F.lit("edge"))
     stamp = lambda at: F.timestamp_seconds(F.lit(1_700_000_000) + at).alias("ts")
     fetched = pages.select((first * 2).alias("record_id"), "url", stamp(first), F.lit("response").alias("kind"), full.alias("headers"), F.md5(text_of(F.col("html")).cast("binary")).alias("payload_digest"))
-    revisits = pages.where("page_id % 2 = 0").select((first * 2 + 1).alias("record_id"), "url", stamp(again), F.lit("revisit").alias("kind"), short.alias("headers"), F.lit(None).cast("string").alias("payload_digest"))
+    revisits = pages.select((first * 2 + 1).alias("record_id"), "url", stamp(again), F.lit("revisit").alias("kind"), short.alias("headers"), F.lit(None).cast("string").alias("payload_digest"))
     return fetched.unionByName(revisits)
 
 
@@ -107,9 +113,9 @@ c AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(raw), '^(www|m)\
         || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url
         FROM q),
-t AS (SELECT *, md5(canonical_url || ':' || floor(page_id / 5000)::BIGINT) AS tag FROM c),
-r AS (SELECT *, FALSE AS revisit, page_id * 2 AS record_id, page_id AS sec, {'id': page_id, 'tag': tag, 'n': octet_length(encode(html)), 'digest': md5(html)} AS offer FROM t
-  UNION ALL SELECT *, TRUE, page_id * 2 + 1, page_id + 5000, NULL FROM t WHERE page_id % 2 = 0),
+t AS (SELECT *, md5(canonical_url || ':' || floor(page_id / 5000)::BIGINT) AS tag, md5(canonical_url || ':' || (floor(page_id / 5000)::BIGINT + CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END)) AS later FROM c),
+r AS (SELECT * EXCLUDE (later), FALSE AS revisit, page_id * 2 AS record_id, page_id AS sec, {'id': page_id, 'tag': tag, 'n': octet_length(encode(html)), 'digest': md5(html)} AS offer FROM t
+  UNION ALL SELECT * EXCLUDE (later) REPLACE (later AS tag), TRUE, page_id * 2 + 1, page_id + 5000, NULL FROM t),
 f AS (SELECT *, last_value(offer IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY sec, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
 s AS (SELECT *, CASE WHEN NOT revisit THEN 'full' WHEN found IS NULL THEN 'unresolved' WHEN found.tag = tag THEN 'resolved' ELSE 'mismatch' END AS status FROM f)
 SELECT record_id, page_id, canonical_url, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS kind, status,
