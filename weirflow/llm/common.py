@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from py4j.protocol import Py4JJavaError
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but these six characters (Java, RE2 and Python read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of the Karp-Rabin hashes, and their inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-#: Rows of the other side up to which a join is a broadcast (times its row size: tens of MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a counted side (see size_of) up to which a join is a broadcast; beyond them it is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 _local_folder: list[str] = []
 
@@ -43,9 +48,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weirflow_path = path
+    for made in _collecting:
+        made.append(out)
     return out
 
 
+_collecting: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary():
+    """Tables of stage() made inside are deleted at the end; take out of the given list what is to stay."""
+    made: list[DataFrame] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+        release(*made)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of stage() that no later plan reads."""
     for df in tables:
@@ -56,18 +78,41 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with a broadcast of right only if its counted rows are within the bound; else a shuffled join, whose skew AQE splits.
+def size_of(df: DataFrame) -> int:
+    """The bytes that df takes as a broadcast table, about: what is in its columns, and ROW_BYTES a row."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 if isinstance(kind.elementType, T.NumericType) else F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + 8 + width(x, kind.elementType)), F.lit(0))
+        return F.lit(8)
+
+    total = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES))
+    return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0))).head()[0]
+
+
+#: What a row of a broadcast table takes beside its columns: its key, header, place in the hash table.
+ROW_BYTES = 96
+
 
-    right must be staged or cheap, as it is counted.
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins with a broadcast of right only if its measured bytes are within BROADCAST_BYTES; else a shuffled join, whose skew AQE splits.
+
+    right must be staged or cheap, as it is measured.
     """
-    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right.hint("merge"), on, how)
+    return left.join(F.broadcast(right) if size_of(right) <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
 def text_of(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def key_of(text: Column) -> Column:
+    """What stands for a text: its MD5, 16 bytes."""
+    return F.unhex(F.md5(text_of(text).cast("binary")))
+
+
 def id_text(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
@@ -96,6 +141,27 @@ def trim() -> None:
         _malloc_trim(0)
 
 
+def tidy(spark: SparkSession, *done: Broadcast) -> None:
+    """Gives back what finished steps of a long operator hold on the driver: its broadcasts, which no later plan reads, and freed memory.
+
+    Python's objects go first, as they keep the JVM's alive; with those Spark's own cleaner drops shuffles and broadcasts.
+    What the allocators then hold in reserve, in either process, goes back to the system.
+    """
+    for held in done:
+        held.destroy()
+    gc.collect()
+    trim()
+    jvm, objects = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 4)
+    jvm.System.gc()
+    objects[0], objects[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # By the interface, as the class that answers isn't public.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), objects)
+    except Py4JJavaError:  # a JVM without the command
+        pass
+
+
 def slices(texts: pa.Array, limit: int = 2 << 20):
     """Cuts a batch of texts at about limit bytes, so that numpy's arrays stay small; one document is never cut."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))

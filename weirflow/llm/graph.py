@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that label, so the rounds grow with the
     logarithm of a component's width. Each is a table in the shared folder.
     """
-    both = stage(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stage(edges.select(F.inline(ways)).distinct(), "graph-edges")
     labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key"), "graph-labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))

@@ -2,18 +2,17 @@
 
 A document is its multiset of runs of five words (all its words, if it has fewer). A shingle weighs its count in the
 document times the mean IDF of its words. Document frequencies of shingles themselves would let a group of copies lower
-the weight of the very text that it shares, so words carry the IDF: counted over all documents in a table of DF_SLOTS
-hashed counters, as large at every size of the corpus.
-
-A pair is linked if its Jaccard similarity by these weights reaches the threshold, or else by the shingles' counts alone:
-IDF only moves a pair near the threshold, and a pair that the plain measure holds to be copies is not to be missed.
+the weight of the very text that it shares, so words carry the IDF. It is counted over all documents in DF_SLOTS hashed
+counters; words that fewer than one in RARE documents hold are all as rare as that. Words that share a counter add up to
+about a fifth of that floor, so weights are the same at every size of the corpus.
 
 Consistent weighted samples (BANDS x ROWS) agree with the probability of the weighted Jaccard similarity. Exact copies
 are one key (the MD5 of the text) from there on. Keys that share a band are compared with one pivot of the band, the key
-with the most neighbours (of edited copies, as a rule the original). Where a pivot's cluster then still holds several
-classes, pairs of these are compared that may reach the threshold for all that the pivot shows: what both share of the
-pivot's shingles and the shingles outside it that both have bound their similarity from above. So a group of n near copies
-takes about n comparisons, and no link between candidates is lost. Classes are connected components.
+with the most neighbours (of edited copies, as a rule the original), and linked if their weighted similarity reaches the
+threshold. Where a pivot's cluster then still holds several classes, members outside the largest one are compared with all
+that may reach the threshold for what the pivot shows: what both share of the pivot's shingles and the shingles outside it
+that both have bound their similarity from above. So a group of n near copies takes about n comparisons, and no link
+between candidates is lost. Classes are connected components.
 
 Defined results: null texts count as empty; texts without words are copies if they are equal; equal texts are always in
 one class; class_id is the smallest doc_id of the class (null if it has none); repeated rows are each reported.
@@ -24,21 +23,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNKS, Rolling, add_chunks, emit_chunks, fresh, hashes_of, join_checked, mixed, slices, stage, text_of, trim, words_of
+from .common import CHUNKS, Rolling, add_chunks, emit_chunks, fresh, hashes_of, join_checked, key_of, mixed, release, slices, stage, text_of, tidy, trim, words_of
 from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
-#: Kept documents up to which their keys are broadcast to pick their rows (about 50 MB).
-KEPT_ROWS = 300_000
-#: Members of a cluster whose leftovers are compared in one task.
-CLUSTER_ROWS = 4096
-TESTED = ["a", "b", "sim", "plain", "weight_a", "count_a", "weight_b", "count_b"]
+#: Words in fewer than one of so many documents weigh the same.
+RARE = 1024
+#: Members of a cluster, and members outside its largest class, that meet in one task.
+CLUSTER_ROWS = 1024
 
 
 def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,11 +68,11 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     n, df = frequencies(docs, text)
-    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    return (np.log((1 + n) / (1 + np.maximum(df, n / RARE))) + 1).astype(np.float32)
 
 
 def shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of all texts: hashes ascending within each text, weights, counts, and where each text's begin."""
+    """Shingles of all texts: hashes ascending within each text, weights (count times mean IDF), mean IDFs, and where each text's begin."""
     words, bounds = words_of(texts)
     own = hashes_of(words.dictionary)
     codes = np.asarray(words.indices)
@@ -94,7 +93,7 @@ def shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(owner)))
-    return hashes[at], w[at] * times, times.astype(np.float64), np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))])
+    return hashes[at], w[at] * times, w[at], np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))])
 
 
 def band_hashes(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,9 +122,8 @@ def band_hashes(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) ->
 _TABLES = _samples()
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, bands): the key is the MD5 of the text; texts without words have no bands."""
-    held = docs.sparkSession.sparkContext.broadcast(idf)
+def signatures(docs: DataFrame, held: Broadcast, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, bands): the key is the MD5 of the text; texts without words have no bands. held: the IDF table."""
 
     def run(batches):
         for batch in batches:
@@ -138,93 +136,101 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(bands[full].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), lists], ["doc_id", "key", "bands"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(text_of(F.col(text)).cast("binary"))).alias("key"), text_of(F.col(text)).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key_of(F.col(text)).alias("key"), text_of(F.col(text)).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """pairs (a, b) of keys with the Jaccard similarities by weight and by count: (a, b, sim, plain, and the sums of either side)."""
-    held = pairs.sparkSession.sparkContext.broadcast(idf)
+def similarities(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
+    """pairs (a, b) of keys with the Jaccard similarity by weight: (a, b, sim)."""
     joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
             both = pc.binary_join_element_wise(a, b, "")
-            for first, part in slices(both, 2 << 20):
-                part = a.slice(first, len(part))
-                left = shingles(part, held.value)
+            for first, part in slices(both):
+                left = shingles(a.slice(first, len(part)), held.value)
                 other = b.slice(first, len(part)).dictionary_encode()
                 right = shingles(other.dictionary, held.value)
-                which = np.asarray(other.indices)
-                out = np.zeros((6, len(part)))
-                for i in range(len(part)):
-                    j = which[i]
-                    ha, *own = (x[left[3][i] : left[3][i + 1]] for x in left[:3])
-                    hb, *their = (x[right[3][j] : right[3][j + 1]] for x in right[:3])
+                which, out = np.asarray(other.indices), np.zeros(len(part))
+                for i, j in enumerate(which):
+                    (ha, wa), (hb, wb) = ((x[0][x[3][k] : x[3][k + 1]], x[1][x[3][k] : x[3][k + 1]]) for x, k in ((left, i), (right, j)))
                     at = np.minimum(np.searchsorted(hb, ha), max(len(hb) - 1, 0))
                     same = hb[at] == ha if len(hb) and len(ha) else np.zeros(len(ha), dtype=bool)
-                    for k, (x, y) in enumerate(zip(own, their, strict=True)):
-                        both = np.minimum(x[same], y[at[same]]).sum()
-                        out[[k, 2 + k, 4 + k], i] = both / max(x.sum() + y.sum() - both, 1e-12), x.sum(), y.sum()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), *map(pa.array, out)], TESTED)
+                    common = np.minimum(wa[same], wb[at[same]]).sum()
+                    out[i] = common / max(wa.sum() + wb.sum() - common, 1e-12)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(out)], ["a", "b", "sim"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, " + ", ".join(f"{c} double" for c in TESTED[2:]))
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, sim double")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(signed, labels): doc_id and key of every document; label and class_id of every key."""
-    idf = idf_table(docs, text)
-    signed = stage(signatures(docs, idf, doc_id, text), "neardup-signed")
-    keys = stage(signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "neardup-keys")
-    each = keys.select("key", "id", F.posexplode("bands").alias("n", "hash")).select("key", "id", F.xxhash64("n", "hash").alias("band"))
-    shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stage(each.join(shared, "band"), "neardup-bands")
-    # What a band's keys are compared by is read once: one row of a key, summed up before the shuffle.
-    ids = rows.groupBy("key").agg(F.first(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("id"), F.sum(F.col("n") - 1).alias("degree"))
-    ids = stage(ids, "neardup-compared")
-    texts = docs.select(F.unhex(F.md5(text_of(F.col(text)).cast("binary"))).alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text_of(F.col(text)).alias("text"))
-    texts = stage(join_checked(texts, ids.select("key", "id"), ["key", "id"]).groupBy("key").agg(F.first("text").alias("text")), "neardup-texts")
-    rows = rows.select("band", "key").join(ids.select("key", "degree"), "key")
-    best = rows.groupBy("band").agg(F.max_by("key", F.struct("degree", "key")).alias("pivot"))
-    members = stage(rows.join(best, "band").select("key", "pivot").distinct(), "neardup-members")
+    """(signed, keyed): doc_id and key of every document; of every key its smallest id, class_id, class_size and whether it is its class's first."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(idf_table(docs, text))
+    signed = stage(signatures(docs, held, doc_id, text), "neardup-signed")
+    keys = stage(signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "neardup-keys")
+    tidy(spark)
+    texts, members = _compared(docs, keys, doc_id, text)
+    # Every member of a band with its pivot.
     pairs = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    tested = stage(similarities(pairs, texts, idf), "neardup-tested")
-    labels = components(tested.where(F.greatest("sim", "plain") >= similarity).select("a", "b"))
+    tested = stage(similarities(pairs, texts, held), "neardup-tested")
+    labels = components(tested.where(F.col("sim") >= similarity).select("a", "b"))
     # What the pivots leave open: clusters of a pivot that still hold several classes.
-    members = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    several = members.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("pivot", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int").alias("parts"))
-    pairs = _left_over(members.join(several, "pivot"), texts, idf, similarity)
-    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    pairs = stage(pairs, "neardup-pairs")
-    links = similarities(pairs, texts, idf).where(F.greatest("sim", "plain") >= similarity).select("a", "b")
+    open_pairs = _left_over(members, labels, texts, held, similarity)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = similarities(open_pairs.join(known, ["a", "b"], "left_anti"), texts, held).where(F.col("sim") >= similarity).select("a", "b")
     known_a, known_b = (labels.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     merged = links.join(known_a, "a", "left").join(known_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
     over = components(merged)
     old = labels.select("key", F.col("label").alias("was")).unionAll(over.select("key", F.col("key").alias("was")).join(labels.select("key"), "key", "left_anti"))
-    labels = stage(old.join(over.select(F.col("key").alias("was"), F.col("label").alias("now")), "was", "left").select("key", F.coalesce("now", "was").alias("label")), "neardup-labels")
-    every = keys.select("key", "id")
-    every = every.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    every = stage(every, "neardup-classes")
-    return signed.select("doc_id", "key"), every.join(every.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key")), "label")
+    final = stage(old.join(over.select(F.col("key").alias("was"), F.col("label").alias("now")), "was", "left").select("key", F.coalesce("now", "was").alias("label")), "neardup-labels")
+    release(texts, members, tested, labels, open_pairs, over)
+    tidy(spark, held)
+    # A table of its own, so that Spark can split a class that holds a third of all keys.
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    facts = stage(final.join(keys.select("key", "id", "n"), "key").groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.min(own)["key"].alias("first_key")), "neardup-facts")
+    every = keys.select("key", "id", "n").join(final.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    every = every.join(facts.hint("merge"), "label", "left")
+    alone = F.col("class_size").isNull()
+    keyed = stage(every.select("key", "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), (alone | (F.col("key") == F.col("first_key"))).alias("first")), "neardup-classes")
+    release(keys, final, facts)
+    return signed.select("doc_id", "key"), keyed
+
+
+def _compared(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, members): the texts of keys that share a band with another, and of each such key the pivots of its bands."""
+    each = keys.select("key", "id", F.posexplode("bands").alias("n", "hash")).select("key", "id", F.xxhash64("n", "hash").alias("band"))
+    # What is summed up by band is a table of its own: Spark splits skewed keys of joins whose sides are plain exchanges only.
+    shared = stage(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
+    rows = stage(each.join(shared.hint("merge"), "band"), "neardup-bands")
+    ids = stage(rows.groupBy("key").agg(F.first(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("id"), F.sum(F.col("n") - 1).alias("degree")), "neardup-compared")
+    named = docs.select(key_of(F.col(text)).alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text_of(F.col(text)).alias("text"))
+    texts = stage(join_checked(named, ids.select("key", "id"), ["key", "id"]).groupBy("key").agg(F.first("text").alias("text")), "neardup-texts")
+    ranked = stage(rows.select("band", "key").join(ids.select("key", "degree").hint("merge"), "key"), "neardup-ranked")
+    best = stage(ranked.groupBy("band").agg(F.max_by("key", F.struct("degree", "key")).alias("pivot")), "neardup-pivots")
+    members = stage(ranked.join(best.hint("merge"), "band").select("key", "pivot").distinct(), "neardup-members")
+    release(shared, rows, ids, ranked, best)
+    return texts, members
 
 
 def _open_pairs(rows: dict[str, np.ndarray], residual: tuple[np.ndarray, ...], missing: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one cluster, of different labels, that the pivot doesn't exclude.
+    """Pairs of a visitor and a resident of one cluster, of different labels, that the pivot doesn't exclude.
 
     Two members share at most what both hold of the pivot's shingles (their masses) and the shingles outside the pivot that
     both have; the latter are found by postings, most of which have one entry. For the pairs that pass so, what one holds
-    of the pivot and the other misses comes off as well; for sets the bound is then the similarity itself. By weight and by
-    count; one of the two must be able to reach the threshold. So a member costs one pass over vectors.
+    of the pivot and the other misses comes off as well; for sets the bound is then the similarity itself. So a visitor
+    costs one pass over vectors.
 
-    residual: owner, hash, weight and count of shingles outside the pivot; missing: of each member's missed pivot shingles
-    their places, weights, and where a member's begin.
+    rows: label, rank (of two visitors the one of smaller rank asks), visitor, weight and mass. residual: owner, hash and
+    weight of shingles outside the pivot; missing: of each member's missed pivot shingles their places, the weights of one
+    occurrence, and where a member's begin.
     """
-    label, left = rows["label"], rows["left"]
+    label, rank, visitor, total, mass = (rows[c] for c in ("label", "rank", "visitor", "weight", "mass"))
     n = len(label)
-    owner, hashes, *values = residual
+    owner, hashes, values = residual
     order = np.argsort(hashes, kind="stable")
-    owner, hashes, values = owner[order], hashes[order], [v[order] for v in values]
+    owner, hashes, values = owner[order], hashes[order], values[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = hashes[1:] != hashes[:-1]
     cut = np.flatnonzero(new)
@@ -234,110 +240,103 @@ def _open_pairs(rows: dict[str, np.ndarray], residual: tuple[np.ndarray, ...], m
     by_owner = np.flatnonzero(shared)[np.argsort(owner[shared], kind="stable")]
     begins = np.searchsorted(owner[by_owner], np.arange(n + 1))
     place, weight, bounds = missing
-    lacks = [np.concatenate([[0.0], np.cumsum(w)])[bounds] for w in (weight, np.ones(len(place)))]
-    lacks = [np.diff(x) for x in lacks]
-    flags = np.zeros((2, int(place.max(initial=-1)) + 1))
-    most = np.bincount(label).argmax()
+    lacks = np.diff(np.concatenate([[0.0], np.cumsum(weight)])[bounds])
+    flags = np.zeros(int(place.max(initial=-1)) + 1)
     out = []
-    for o in np.flatnonzero(left):
+    for o in np.flatnonzero(visitor):
         mine = by_owner[begins[o] : begins[o + 1]]
         first, size = cut[code[mine]], (ends - cut)[code[mine]]
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        # Of two members outside the largest class both are on the left: one order is enough.
-        open_ = (label != label[o]) & ((label == most) | (np.arange(n) > o) | ~left)
-        outside, able = [], np.zeros(n, dtype=bool)
-        for own, name in zip(values, ("weight", "count"), strict=True):
-            total, mass = rows[name], rows[f"{name}_in"]
-            outside.append(np.bincount(owner[at], weights=np.repeat(own[mine], size), minlength=n))
-            both = np.minimum(mass[o], mass) + outside[-1]
-            able |= both >= (similarity - 1e-9) * (total[o] + total - both)
-        some = np.flatnonzero(able & open_)
+        outside = np.bincount(owner[at], weights=np.repeat(values[mine], size), minlength=n)
+        both = np.minimum(mass[o], mass) + outside
+        some = np.flatnonzero((both >= (similarity - 1e-6) * (total[o] + total - both)) & ~visitor & (label != label[o]) & (rank > rank[o]))
         if not len(some):
             continue
         own = slice(bounds[o], bounds[o + 1])
-        flags[0, place[own]], flags[1, place[own]] = weight[own], 1.0
+        flags[place[own]] = weight[own]
         count = np.diff(bounds)[some]
-        whose = np.repeat(np.arange(len(some)), count)
         theirs = place[np.repeat(bounds[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        able = np.zeros(len(some), dtype=bool)
-        for k, name in enumerate(("weight", "count")):
-            total, mass, lack = rows[name], rows[f"{name}_in"], lacks[k]
-            common = np.bincount(whose, weights=flags[k, theirs], minlength=len(some))
-            both = np.minimum(mass[o] - lack[some] + common, mass[some] - lack[o] + common) + outside[k][some]
-            able |= both >= (similarity - 1e-6) * (total[o] + total[some] - both)
-        flags[:, place[own]] = 0
-        some = some[able]
+        common = np.bincount(np.repeat(np.arange(len(some)), count), weights=flags[theirs], minlength=len(some))
+        flags[place[own]] = 0
+        both = np.minimum(mass[o] - lacks[some] + common, mass[some] - lacks[o] + common) + outside[some]
+        some = some[both >= (similarity - 1e-6) * (total[o] + total[some] - both)]
         out.append(np.stack([np.full(len(some), o), some]))
     return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, dtype=int),) * 2
 
 
-def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b): pairs of different classes around one pivot that may reach the similarity. members: key, pivot, label, parts.
+def _left_over(members: DataFrame, labels: DataFrame, texts: DataFrame, held: Broadcast, similarity: float) -> DataFrame:
+    """(a, b): pairs of different classes around one pivot that may reach the similarity.
 
-    A cluster of more than CLUSTER_ROWS members is cut into parts by hash, and each pair of parts is a task's work, so
-    memory is bounded at every size of a cluster.
+    A member lives in one of the parts of its cluster, by hash, and members outside the cluster's largest class visit all of
+    them, in groups: a part and a group of visitors are a task's work, so memory is bounded at every size of a cluster, and
+    a cluster of one class and a few others costs a row a member.
     """
-    held = members.sparkSession.sparkContext.broadcast(idf)
-    joined = members.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("pivot", "key", "label", "parts", "text", "pivot_text")
-    schema = "pivot binary, key binary, label binary, parts int, weight double, weight_in double, count double, count_in double, hashes array<bigint>, weights array<float>, counts array<float>, missing array<int>, missing_weights array<float>"
+    members = stage(members.join(labels, "key", "left").select("key", "pivot", F.coalesce("label", "key").alias("label")), "neardup-labelled")
+    each = members.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+    several = each.groupBy("pivot").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1 and all > 2")
+    cuts = lambda n: F.ceil(n / CLUSTER_ROWS).cast("int")
+    several = stage(several.select("pivot", F.col("most.label").alias("main"), cuts(F.col("all")).alias("parts"), cuts(F.col("all") - F.col("most.n")).alias("groups")), "neardup-several")
+    rows = members.where("key <> pivot").join(several.hint("merge"), "pivot")
+    joined = rows.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    joined = joined.select("pivot", "key", "label", (F.col("label") != F.col("main")).alias("other"), "parts", "groups", "text", "pivot_text")
+    lists = "hashes array<bigint>, weights array<float>, missing array<int>, missing_weights array<float>"
+    schema = f"pivot binary, key binary, label binary, other boolean, parts int, groups int, weight double, mass double, {lists}"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def residuals(batches):
         for batch in batches:
-            both = pc.binary_join_element_wise(batch.column(4), batch.column(5), "")
+            both = pc.binary_join_element_wise(batch.column(6), batch.column(7), "")
             for first, part in slices(both):
                 rows = batch.slice(first, len(part))
-                hashes, weights, counts, bounds = shingles(rows.column(4), held.value)
-                pivots = rows.column(5).dictionary_encode()
-                ph, pw, pc_, pb = shingles(pivots.dictionary, held.value)
-                unit = (pw / pc_).astype(np.float32)
-                lack = []
-                which, keep, sums = np.asarray(pivots.indices), np.zeros(len(hashes), dtype=bool), np.zeros((4, len(part)))
+                hashes, weights, _, bounds = shingles(rows.column(6), held.value)
+                pivots = rows.column(7).dictionary_encode()
+                ph, _, unit, pb = shingles(pivots.dictionary, held.value)
+                lack, gone = [], []
+                which, keep, sums = np.asarray(pivots.indices), np.zeros(len(hashes), dtype=bool), np.zeros((2, len(part)))
                 for i in range(len(part)):
                     own, of = slice(bounds[i], bounds[i + 1]), ph[pb[which[i]] : pb[which[i] + 1]]
                     held_at = np.minimum(np.searchsorted(hashes[own], of), max(own.stop - own.start - 1, 0))
                     lack.append(np.flatnonzero(hashes[own][held_at] != of) if own.stop > own.start else np.arange(len(of)))
+                    gone.append(unit[pb[which[i]] + lack[-1]])
                     at = np.minimum(np.searchsorted(of, hashes[own]), max(len(of) - 1, 0))
                     keep[own] = of[at] != hashes[own] if len(of) else True
-                    for k, x in enumerate((weights, counts)):
-                        sums[2 * k : 2 * k + 2, i] = x[own].sum(), x[own][~keep[own]].sum()
+                    sums[:, i] = weights[own].sum(), weights[own][~keep[own]].sum()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(keep)])[bounds], pa.int32())
-                lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[keep].view(np.int64), weights[keep].astype(np.float32), counts[keep].astype(np.float32)))
-                gone = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lack])]), pa.int32())
-                lists = (*lists, pa.ListArray.from_arrays(gone, pa.array(np.concatenate(lack).astype(np.int32))), pa.ListArray.from_arrays(gone, pa.array(np.concatenate([unit[pb[which[i]] + x] for i, x in enumerate(lack)]))))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:4], *map(pa.array, sums), *lists], [c.split()[0] for c in schema.split(", ")])
-
-    rows = joined.mapInArrow(residuals, schema).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-    # Each part meets itself and every later part.
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with"))
+                lacks = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lack])]), pa.int32())
+                made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[keep].view(np.int64), weights[keep].astype(np.float32))]
+                made += [pa.ListArray.from_arrays(lacks, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((lack, np.int32), (gone, np.float32))]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:6], *map(pa.array, sums), *made], names)
+
+    rows = joined.mapInArrow(residuals, schema)
+    home = rows.select("*", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("visitor"))
+    away = rows.where("other").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64(F.lit(1), "key"), "groups").cast("int").alias("group"), F.lit(True).alias("visitor"))
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("pivot", "low", "high", "part", *[c.split()[0] for c in schema.split(", ")[1:3] + schema.split(", ")[4:]]).repartition(tasks, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    dealt = home.unionAll(away).drop("parts", "groups").repartition(tasks, "pivot", "part", "group").sortWithinPartitions("pivot", "part", "group")
 
     def compare(batches):
         def open_pairs(t: pa.Table):
             t = t.combine_chunks()
             label = np.asarray(t["label"].combine_chunks().dictionary_encode().indices)
-            part, alone = np.asarray(t["part"]), np.asarray(t["low"]) == np.asarray(t["high"])
-            most = np.bincount(label).argmax()
-            facts = {c: np.asarray(t[c]) for c in ("weight", "weight_in", "count", "count_in")} | {"label": label}
-            # In two parts, pairs across them count, from either side's members outside the largest class.
-            facts["left"] = label != most
-            lists = {c: t[c].combine_chunks() for c in ("hashes", "weights", "counts", "missing", "missing_weights")}
+            visitor, other = (t[c].to_numpy() for c in ("visitor", "other"))
+            key = t["key"].combine_chunks()
+            # Of two members outside the largest class the one of the smaller key asks; all of the class are asked.
+            rank = np.empty(len(key), dtype=np.int64)
+            rank[np.asarray(pc.array_sort_indices(key))] = np.arange(len(key))
+            same = np.asarray(key.dictionary_encode().indices)
+            rank = np.minimum.reduceat(rank[np.argsort(same, kind="stable")], np.flatnonzero(np.diff(np.sort(same), prepend=-1)))[same]
+            facts = {"label": label, "rank": np.where(other, rank, len(key)), "visitor": visitor, "weight": np.asarray(t["weight"]), "mass": np.asarray(t["mass"])}
+            lists = {c: t[c].combine_chunks() for c in ("hashes", "weights", "missing", "missing_weights")}
             owner = np.repeat(np.arange(len(label)), np.asarray(lists["hashes"].value_lengths()))
             flat = {c: np.asarray(x.flatten()) for c, x in lists.items()}
             begin = np.concatenate([[0], np.cumsum(np.asarray(lists["missing"].value_lengths()))])
-            residual = owner, flat["hashes"].view(np.uint64), flat["weights"].astype(float), flat["counts"].astype(float)
-            a, b = _open_pairs(facts, residual, (flat["missing"], flat["missing_weights"].astype(float), begin), similarity)
-            if not alone[0]:
-                across = part[a] != part[b]
-                a, b = a[across], b[across]
-            key = t["key"].combine_chunks()
+            a, b = _open_pairs(facts, (owner, flat["hashes"].view(np.uint64), flat["weights"].astype(float)), (flat["missing"], flat["missing_weights"].astype(float), begin), similarity)
             return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b))], ["a", "b"])
 
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            group = list(zip(*(table[c].to_pylist() for c in ("pivot", "low", "high")), strict=True))
-            cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1])]
+            task = list(zip(*(table[c].to_pylist() for c in ("pivot", "part", "group")), strict=True))
+            cuts = [0, *(i for i in range(1, len(task)) if task[i] != task[i - 1])]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 yield open_pairs(table.slice(i, j - i))
             rest = table.slice(cuts[-1])
@@ -345,30 +344,40 @@ def _left_over(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity
         if rest is not None and rest.num_rows:
             yield open_pairs(rest)
 
-    found = rows.mapInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.mapInArrow(compare, "a binary, b binary")
+    out = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-open")
+    release(members, several)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id, class_size."""
-    signed, labels = classes(docs, similarity, doc_id, text)
-    out = stage(signed.join(labels.select("key", "class_id", "label"), "key"), "neardup-members")
-    return out.join(out.groupBy("label").agg(F.count("*").alias("class_size")), "label").select("doc_id", "class_id", "class_size")
+    signed, keyed = classes(docs, similarity, doc_id, text)
+    return signed.join(keyed.select("key", "class_id", "class_size").hint("merge"), "key").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class: the one of the smallest doc_id; of rows that repeat it, any one."""
-    signed, labels = classes(docs, similarity, doc_id, text)
+    """docs with one document of each class: the one of the smallest doc_id; of rows that repeat it, any one.
+
+    The rows that go are listed and taken out; of these lists small ones are broadcast, larger ones shuffled with the texts.
+    """
+    signed, keyed = classes(docs, similarity, doc_id, text)
     text_id = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    wins = labels.where("key = first_key").select("key", text_id(F.col("id")).alias("id"))
-    wins = stage(signed.select("key", text_id(F.col("doc_id")).alias("id")).join(wins, ["key", "id"]).groupBy("key", "id").agg(F.count("*").alias("n")), "neardup-kept")
-    key, own, n = fresh(docs, "_key"), fresh(docs, "_id"), fresh(docs, "_n")
-    rows = docs.withColumn(key, F.unhex(F.md5(text_of(F.col(text)).cast("binary")))).withColumn(own, text_id(F.col(doc_id)))
-    rows = join_checked(rows, wins.withColumnsRenamed({"key": key, "id": own, "n": n}), [key, own], rows=KEPT_ROWS)
-    if not wins.where("n > 1").limit(1).count():
-        return rows.select(*docs.columns)
-    again = rows.where(F.col(n) > 1).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(n)).select(f"{n}.*")
-    return rows.where(F.col(n) == 1).select(*docs.columns).unionAll(again)
+    stays = keyed.where("first").select("key", text_id(F.col("id")).alias("id"), F.lit(True).alias("stays"))
+    each = signed.select("key", text_id(F.col("doc_id")).alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    counted = stage(each.join(stays.hint("merge"), ["key", "id"], "left").where("stays is null or n > 1").select("key", "id", F.coalesce("stays", F.lit(False)).alias("stays")), "neardup-listed")
+    release(signed, keyed)
+    tidy(docs.sparkSession)
+    key, own = fresh(docs, "_key"), fresh(docs, "_id")
+    rows = docs.withColumn(key, key_of(F.col(text))).withColumn(own, text_id(F.col(doc_id)))
+    listed = lambda df: df.select(F.col("key").alias(key), F.col("id").alias(own))
+    once = join_checked(rows, listed(counted), [key, own], "left_anti").select(*docs.columns)
+    again = counted.where("stays")
+    if not again.limit(1).count():
+        return once
+    whole = fresh(docs, "_row")
+    again = join_checked(rows, listed(again), [key, own]).groupBy(key, own).agg(F.first(F.struct(*docs.columns)).alias(whole)).select(f"{whole}.*")
+    return once.unionAll(again)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,11 @@ What repeats is covered, and neighbouring runs join to maximal repeats. A group
 n * n pairs. Groups of at most HOT_ROWS occurrences are compared in one task; larger ones (a licence line in a third of all
 documents) in parts of about PART_ROWS, and what is alone in its part is then looked up among all others' runs.
 
-A text's key is a 64-bit hash of it, and equal texts have equal results, so copies are seeded once a task; texts that occur
-twice are repeats from end to end. Hashes of runs have 64 bits as well (and count only beside equal anchors).
+A text's key is its MD5, and equal texts have equal results, so copies are seeded once a task; texts that occur twice are
+repeats from end to end. Runs are equal if their hash of 64 bits and that of their anchor are.
 
-Joins of documents with what was found for them are broadcasts of at most BROADCAST_ROWS small rows; beyond that the texts
-are shuffled.
+Texts are shuffled by their keys twice, at every size: to their seeds and to their repeats. Both of these are tables of their
+own, so that Spark splits a text that a third of all rows hold.
 
 Defined results: null and empty texts have no words; texts shorter than LENGTH lose nothing; repeated rows are copies.
 """
@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, hashes_of, inside, join_checked, slices, stage, text_of, trim, words_of
+from .common import Rolling, hashes_of, inside, key_of, release, slices, stage, text_of, trim, words_of
 
 LENGTH, SEED = 35, 16
-HOT_ROWS, PART_ROWS = 4096, 64
-BROADCAST_ROWS = 300_000
+HOT_ROWS, PART_ROWS = 1024, 64
 
 
 def _anchors(own: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -64,37 +63,39 @@ def _seeds(keyed: DataFrame, length: int, seed: int) -> tuple[DataFrame, int]:
     """The most occurrences of an anchor, and (key, marks): for texts with anchors that occur again, their numbers, times two, plus one for hot ones; packed int32."""
 
     def scan(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for first, part in slices(batch.column(1)):
-                keys = np.asarray(batch.column(0).slice(first, len(part)))
-                fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
-                part, keys = part.filter(pa.array(fresh)), keys[fresh]
+                keys = batch.column(0).slice(first, len(part))
+                fresh = np.array([k not in seen and not seen.add(k) for k in keys.to_pylist()], dtype=bool)
+                part, keys = part.filter(pa.array(fresh)), keys.filter(pa.array(fresh))
                 words, bounds = words_of(part)
                 anchor, text, *_ = _anchors(hashes_of(words.dictionary)[np.asarray(words.indices)], bounds, length, seed)
                 count = np.bincount(text, minlength=len(part))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[count > 0]), _lists(anchor, count[count > 0])], ["key", "anchors"])
+                yield pa.RecordBatch.from_arrays([keys.filter(pa.array(count > 0)), _lists(anchor, count[count > 0])], ["key", "anchors"])
 
-    per_text = stage(keyed.mapInArrow(scan, "key bigint, anchors array<bigint>"), "substring-anchors")
+    per_text = stage(keyed.mapInArrow(scan, "key binary, anchors array<bigint>"), "substring-anchors")
     each = per_text.select("key", F.posexplode("anchors").alias("n", "anchor"))
     # A table of its own: Spark splits skewed keys of joins whose sides are plain exchanges only.
-    again = stage(each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "substring-again")
+    again = counted = stage(each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "substring-again")
     most = again.agg(F.max("times")).head()[0] or 0
     again = again.select("anchor", (F.col("times") > HOT_ROWS).cast("int").alias("hot"))
     found = each.join(again.hint("merge"), "anchor").groupBy("key").agg(F.collect_set(F.col("n") * 2 + F.col("hot")).alias("marks"))
-    return stage(found, "substring-seeds"), most
+    out = stage(found, "substring-seeds")
+    release(per_text, counted)
+    return out, most
 
 
 def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) -> DataFrame:
     """(anchor, key, start, runs, hot): of each seed, where its first run of words starts and the hashes of its runs."""
 
     def scan(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for first, part in slices(batch.column(1)):
-                keys = np.asarray(batch.column(0).slice(first, len(part)))
-                fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
-                part, keys = part.filter(pa.array(fresh)), keys[fresh]
+                keys = batch.column(0).slice(first, len(part))
+                fresh = np.array([k not in seen and not seen.add(k) for k in keys.to_pylist()], dtype=bool)
+                part, keys = part.filter(pa.array(fresh)), keys.filter(pa.array(fresh))
                 marks = batch.column(2).slice(first, len(fresh)).filter(pa.array(fresh))
                 words, bounds = words_of(part)
                 anchor, text, number, start, last, runs = _anchors(hashes_of(words.dictionary)[np.asarray(words.indices)], bounds, length, seed)
@@ -106,13 +107,13 @@ def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) ->
                 hot = flat % 2 == 1
                 count = last[where] - start[where] + 1
                 inner = np.repeat(start[where] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[where]), pa.array(keys[text[where]]), pa.array((start[where] - bounds[text[where]]).astype(np.int32)), _lists(runs[inner].view(np.int64), count), pa.array(hot)], ["anchor", "key", "start", "runs", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[where]), keys.take(pa.array(text[where])), pa.array((start[where] - bounds[text[where]]).astype(np.int32)), _lists(runs[inner].view(np.int64), count), pa.array(hot)], ["anchor", "key", "start", "runs", "hot"])
 
-    return join_checked(keyed, seeds, ["key"], rows=BROADCAST_ROWS).select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key bigint, start int, runs array<bigint>, hot boolean")
+    return keyed.join(seeds.hint("merge"), "key").select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key binary, start int, runs array<bigint>, hot boolean")
 
 
-#: Of _extend(): bits of repeats, and (alone) runs that occur once in their group with their places, and (many) runs that repeat in it.
-EXTENDED = "key bigint, start int, bits bigint, places array<int>, alone array<bigint>, many array<bigint>"
+#: Of _extend(): bits of repeats; (alone) runs that occur once in their group, with their places; (many) runs that repeat in some group, with their anchors.
+EXTENDED = "key binary, anchor bigint, start int, bits bigint, places array<int>, alone array<bigint>, many array<bigint>, anchors array<bigint>"
 
 
 def _extend(batches, groups: int):
@@ -124,17 +125,19 @@ def _extend(batches, groups: int):
 
     def compare(table: pa.Table):
         table = table.combine_chunks()
-        key, start = np.asarray(table["key"]), np.asarray(table["start"]).astype(np.int64)
+        keys, start, anchor = table["key"].combine_chunks(), np.asarray(table["start"]).astype(np.int64), np.asarray(table["anchor"])
+        keys = keys if isinstance(keys, pa.Array) else keys.chunk(0)
+        key = np.asarray(keys.dictionary_encode().indices)
         lists = table["runs"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
         count = np.asarray(lists.value_lengths()).astype(np.int64)
         owner = np.repeat(np.arange(len(key)), count)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         runs = np.asarray(lists.flatten())
-        part = np.zeros(len(key), dtype=np.int64) if groups == 1 else np.asarray(table["part"]).astype(np.int64)
+        group = np.cumsum(np.any([np.diff(np.asarray(table.column(i)), prepend=0) != 0 for i in range(groups)], axis=0))
         # A copy that another task has seeded again is the same place.
-        order = np.lexsort((start[owner] + inner, key[owner], runs, part[owner]))
-        g, r, k, s = part[owner][order], runs[order], key[owner][order], (start[owner] + inner)[order]
+        order = np.lexsort((start[owner] + inner, key[owner], runs, group[owner]))
+        g, r, k, s = group[owner][order], runs[order], key[owner][order], (start[owner] + inner)[order]
         new = np.ones(len(r), dtype=bool)
         new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
         place = new.copy()
@@ -145,10 +148,10 @@ def _extend(batches, groups: int):
         bits = np.bincount(owner[repeats], weights=2.0 ** inner[repeats], minlength=len(key)).astype(np.int64)
         if groups == 1:
             some = np.flatnonzero(bits > 0)
-            yield _rows(key[some], start[some], bits[some])
+            yield _rows(keys.take(pa.array(some)), anchor[some], start[some], bits[some])
             return
         left = np.flatnonzero(~repeats)
-        yield _rows(key, start, bits, (inner[left], runs[left], np.bincount(owner[left], minlength=len(key))), r[new & twice])
+        yield _rows(keys, anchor, start, bits, (inner[left], runs[left], np.bincount(owner[left], minlength=len(key))), (r[new & twice], anchor[owner[order][new & twice]]))
 
     rest = None
     for batch in batches:
@@ -165,13 +168,14 @@ def _extend(batches, groups: int):
         yield from compare(rest)
 
 
-def _rows(key, start, bits, alone=None, many=None) -> pa.RecordBatch:
+def _rows(key, anchor, start, bits, alone=None, many=None) -> pa.RecordBatch:
     n = len(key)
-    lists = [_lists(np.zeros(0), np.zeros(n, dtype=int), pa.int32())] + [_lists(np.zeros(0), np.zeros(n, dtype=int))] * 2
+    lists = [_lists(np.zeros(0), np.zeros(n, dtype=int), pa.int32())] + [_lists(np.zeros(0), np.zeros(n, dtype=int))] * 3
     if alone is not None and n:
-        # What repeats in the group stands in its first row.
-        lists = [_lists(alone[0].astype(np.int32), alone[2], pa.int32()), _lists(alone[1], alone[2]), _lists(many, np.concatenate([[len(many)], np.zeros(n - 1, dtype=int)]))]
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.asarray(start).astype(np.int32)), pa.array(bits), *lists], [c.split()[0] for c in EXTENDED.split(", ")])
+        # What repeats in its group stands in the first row.
+        in_first = np.concatenate([[len(many[0])], np.zeros(n - 1, dtype=int)])
+        lists = [_lists(alone[0].astype(np.int32), alone[2], pa.int32()), _lists(alone[1], alone[2]), _lists(many[0], in_first), _lists(many[1], in_first)]
+    return pa.RecordBatch.from_arrays([key, pa.array(anchor), pa.array(np.asarray(start).astype(np.int32)), pa.array(bits), *lists], [c.split()[0] for c in EXTENDED.split(", ")])
 
 
 def _intervals(batches, length: int):
@@ -188,7 +192,7 @@ def _intervals(batches, length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed, found): documents with their key; of each key with repeats, cover (packed intervals of words) and whole (the text occurs twice)."""
-    keyed = docs.select(F.xxhash64(text_of(F.col(text))).alias("key"), text_of(F.col(text)).alias("text"))
+    keyed = docs.select(key_of(F.col(text)).alias("key"), text_of(F.col(text)).alias("text"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole"))
     seeds, most = _seeds(keyed, length, seed)
     places = stage(_occurrences(keyed, seeds, length, seed), "substring-places")
@@ -197,21 +201,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     # Of hot anchors parts are compared by themselves, and then what was alone in its part with all others, run by run.
     parts = max(1, -(-most // PART_ROWS))
     hot = places.where("hot").select("anchor", F.pmod(F.xxhash64("key", "start"), F.lit(parts)).cast("int").alias("part"), "key", "start", "runs")
-    hot = stage(hot.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(lambda batches: _extend(batches, 2), EXTENDED), "substring-hot")
-    alone = hot.where("size(alone) > 0").select("key", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
-    found = alone.select("run", F.lit(1).alias("n")).unionAll(hot.where("size(many) > 0").select(F.explode("many"), F.lit(2)))
-    twice = stage(found.groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run"), "substring-twice")
-    more = alone.join(twice.hint("merge"), "run").select("key", "start", F.lit(1).cast("bigint").alias("bits"))
+    hot = hot_parts = stage(hot.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(lambda batches: _extend(batches, 2), EXTENDED), "substring-hot")
+    alone = hot.where("size(alone) > 0").select("key", "anchor", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", "anchor", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
+    found = alone.select("anchor", "run", F.lit(1).alias("n")).unionAll(hot.where("size(many) > 0").select(F.explode(F.arrays_zip("anchors", "many")).alias("x")).select("x.anchors", "x.many", F.lit(2)))
+    twice = stage(found.groupBy("anchor", "run").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "run"), "substring-twice")
+    more = alone.join(twice.hint("merge"), ["anchor", "run"]).select("key", "start", F.lit(1).cast("bigint").alias("bits"))
     hot = hot.where("bits > 0").select("key", "start", "bits").unionAll(more)
-    cover = cool.unionAll(hot).groupBy("key").agg(F.collect_list(F.struct("start", "bits")).alias("runs")).mapInArrow(lambda batches: _intervals(batches, length), "key bigint, cover binary")
-    return keyed, stage(cover.join(copies, "key", "full").select("key", "cover", F.coalesce("whole", F.lit(False)).alias("whole")), "substring-found")
+    cover = cool.unionAll(hot).groupBy("key").agg(F.collect_list(F.struct("start", "bits")).alias("runs")).mapInArrow(lambda batches: _intervals(batches, length), "key binary, cover binary")
+    out = stage(cover.join(copies, "key", "full").select("key", "cover", F.coalesce("whole", F.lit(False)).alias("whole")), "substring-found")
+    release(seeds, places, hot_parts, twice)
+    return keyed, out
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with texts=True the kept words joined by spaces."""
     _, found = repeats(docs, length, seed, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("text"), F.xxhash64(text_of(F.col(text))).alias("key"))
-    rows = join_checked(rows, found, ["key"], "left", rows=BROADCAST_ROWS).select("doc_id", "text", "cover", "whole")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("text"), key_of(F.col(text)).alias("key"))
+    rows = rows.join(found.hint("merge"), "key", "left").select("doc_id", "text", "cover", "whole")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts
 
     def keep(batches):
