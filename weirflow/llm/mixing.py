@@ -94,11 +94,12 @@ def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, share: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] | None = None) -> DataFrame:
     """All documents with size, source_size, target and taken (words that the mix takes; k whole copies and perhaps one more).
 
-    carry: the columns to return of docs; without the text, the text is read once and the rest works on a narrow table.
+    carry: the columns to return of docs, all by default. Texts are read and counted once: what is carried is staged with the
+    sizes, and the plan reads the narrow columns of that table.
     """
     ready = measured(docs, doc_id, text, source)
-    narrow = stage(ready.select(*(carry or ()), "size", "_mix_hash", "_mix_key"), "mix-sizes")
-    return apply_thresholds(narrow if carry is not None else ready, plan_mix(narrow, weights, epochs, share))
+    ready = stage(ready if carry is None else ready.select(*carry, "size", "_mix_hash", "_mix_key"), "mix-sizes")
+    return apply_thresholds(ready, plan_mix(ready.select("size", "_mix_hash", "_mix_key"), weights, epochs, share))
 
 
 ORACLE = r"""
