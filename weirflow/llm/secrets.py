@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_checked, stage, text_of
 from .spans import digest, hits, none
-from .trigrams import trigram_query
+from .trigrams import rarest, trigram_query
 
 
 @dataclass(frozen=True)
@@ -90,14 +90,27 @@ def _tagged(i: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text", out: str = "secrets") -> DataFrame:
-    """docs with a column of all spans, array<struct<start, ord, kind, end>> by start and then by rule. A column of that name is replaced."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+def queries_of(rules: tuple[Rule, ...]) -> dict[str, list[frozenset[str]]]:
+    """The trigram query of each rule that demands any."""
+    return {r.kind: rarest(q) for r in rules if (q := trigram_query(r.pattern))}
+
+
+def grams_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' index must hold."""
+    return sorted(set().union(*(t for q in queries_of(rules).values() for t in q)))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text", out: str = "secrets", index: DataFrame | None = None) -> DataFrame:
+    """docs with a column of all spans, array<struct<start, ord, kind, end>> by start and then by rule. A column of that name is replaced.
+
+    index: what build_index() gave for these texts and (at least) the trigrams of grams_of(rules), to be used again.
+    """
+    queries = queries_of(rules)
     docs = docs.drop(out)
     key, marked = fresh(docs, "_key"), fresh(docs, "_rules")
     keyed = docs.withColumn(key, key_of(F.col(text)))
     if queries:
-        index = build_index(docs, sorted(set().union(*(t for q in queries.values() for t in q))), text)
+        index = build_index(docs, grams_of(rules), text) if index is None else index
         found = stage(candidates(index, queries), "secret-candidates").withColumnsRenamed({"key": key, "rules": marked})
         keyed = join_checked(keyed, found, [key], "left")
     else:

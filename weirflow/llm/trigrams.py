@@ -15,6 +15,11 @@ from itertools import product
 MOST_STRINGS = 64
 #: A query in disjunctive form with more terms than these keeps its most selective clauses.
 MOST_TERMS = 64
+#: Of a term's trigrams these many are looked up, the rarest by their letters: each costs a pass over all texts, and a weaker
+#: query only adds candidates.
+MOST_GRAMS = 2
+#: Characters by falling frequency in prose; all others are rarer.
+LETTERS = " etaoinsrhldcumfpgwybvkxjqz"
 
 
 def _grams(s: str) -> frozenset[str]:
@@ -104,3 +109,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
         if len(joined) <= MOST_TERMS:
             terms = joined
     return sorted((t for t in terms if not any(o < t for o in terms)), key=sorted)
+
+
+def rarest(query: list[frozenset[str]], most: int = MOST_GRAMS) -> list[frozenset[str]]:
+    """The query with the rarest trigrams of each term alone: it holds wherever the whole query does."""
+    rank = lambda gram: (-sum(LETTERS.find(c) if c in LETTERS else len(LETTERS) for c in gram), gram)
+    thin = {frozenset(sorted(term, key=rank)[:most]) for term in query}
+    return sorted((t for t in thin if not any(o < t for o in thin)), key=sorted)
