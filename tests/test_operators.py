@@ -280,6 +280,90 @@ def test_records_and_ranges(spark):
     assert memory.once(spark, 7).collect() == [(7,)]
 
 
+def test_built_records(spark):
+    b = memory.RecordBuilder().int("a", 1).bool("f", True).time("t", at(5)[0])
+    assert memory.from_built(spark, b, memory.RecordBuilder().int("a", None)).orderBy(F.desc("a")).collect() == [(1, True, at(5)[0]), (None, None, None)]
+    with pytest.raises(Exception, match="field a"):
+        memory.RecordBuilder().int("a", "x")
+    with pytest.raises(TypeError, match="field a"):
+        memory.from_built(spark, b, memory.RecordBuilder().string("a", "x"))
+    assert memory.from_built(spark).count() == 0
+
+
+def test_unchecked_values(spark):
+    assert [r.value for r in memory.from_values(spark, ["a", None], checked=False).collect()] == ["a", None]
+    assert memory.from_records(spark, [{"a": 1.5}], "a double", checked=False).collect() == [(1.5,)]
+    assert memory.once(spark, "x", "string").collect() == [("x",)]
+
+
+def test_jobs_can_be_cancelled(spark):
+    import threading
+
+    with R.cancellable(spark, "to-cancel") as cancel:
+        stopper = threading.Timer(1.0, cancel)
+        stopper.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(0, 2 * 10**10, 1, 4).selectExpr("sum(id % 7)").collect()
+        stopper.join()
+    assert spark.range(3).count() == 3
+
+
+def test_for_each(spark):
+    seen, rows = spark.sparkContext.accumulator(0), []
+    sinks.for_each(spark.range(10), lambda r: seen.add(r.id))
+    sinks.for_each_local(spark.range(10), lambda r: rows.append(r.id))
+    assert seen.value == 45 and sorted(rows) == list(range(10)) and len(sinks.collect(spark.range(4))) == 4
+
+
+def test_partitioned_writes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "i int, k string")
+    R.split_write(rows, str(tmp_path / "one"), "k")
+    sinks.write_partitioned(rows, str(tmp_path / "two"), "k")
+    for name in ("one", "two"):
+        assert sorted(p.name for p in (tmp_path / name).iterdir() if p.is_dir()) == ["k=a", "k=b"]
+        assert files.read_parquet(spark, str(tmp_path / name)).where("k = 'a'").count() == 2
+
+
+def test_batches(spark):
+    assert [r.id for r in R.map_batches(spark.range(5), lambda bs: (b.slice(0, 1) for b in bs), "id long").limit(1).collect()] == [0]
+
+
+def test_window_builder_carries_and_waits(spark):
+    """Each trigger by itself (carry), the time since the last firing, keys, rows without a time, and a batch's end within a window."""
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(at(0, 1, 2, 12, 13, 30))], "ord bigint, t timestamp, value bigint")
+    both = W.WindowBuilder(carry=True).on_count(4).on_time(10)
+    # The count fires on its fourth row, at which ten seconds are over as well; then the time on the last row.
+    assert windows(both.apply(rows, "t", "ord")) == [[0, 1, 2, 3], [4, 5]]
+    assert windows(W.WindowBuilder().on_processing_time(12).apply(rows, "t", "ord")) == [[0, 1, 2, 3], [4, 5]]
+    many = spark.createDataFrame([(i, at(i)[0], i % 3) for i in range(3000)] + [(9999, None, 0)], "ord bigint, t timestamp, k bigint").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = W.WindowBuilder(keys=("k",)).on_time(29.5).apply(many, "t", "ord").groupBy("k", "window_id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # A row every three seconds: the eleventh is the first that is 29.5 seconds or more after the first.
+    assert {r["count"] for r in got} == {11, 10} and sum(r["count"] for r in got) == 3000 and max(r.window_id for r in got) == 90
+    with pytest.raises(ValueError):
+        W.WindowBuilder().on_count(2).allow_lateness(5).apply(rows, "t", "ord")
+
+
+def test_streamed_windows_and_sessions(spark, tmp_path):
+    """Rows with their windows over several micro-batches: counts go on, a silence closes, sessions open with activity."""
+    from weirflow.streaming import stateful
+
+    src, schema = str(tmp_path / "in"), "k int, ord bigint, a boolean"
+    out = {n: str(tmp_path / n) for n in ("count", "silence", "sessions")}
+    for batch in ([(1, 0, False), (1, 1, False), (2, 0, True)], [(1, 2, True), (1, 3, False)], [(1, 4, False), (2, 1, False)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = lambda: memory.folder_stream(spark, src, schema, "parquet")
+        for name, df in (("count", stateful.windowed_stream(stream(), "k", "ord", count=2)), ("silence", stateful.windowed_stream(stream(), "k", "ord", timeout_ms=1)), ("sessions", stateful.activity_sessions_stream(stream(), "k", "a", "ord", 3_600_000))):
+            df.writeStream.format("parquet").option("path", out[name]).option("checkpointLocation", f"{out[name]}-c").trigger(availableNow=True).start().awaitTermination()
+    got = lambda name, c: sorted((r.k, r.ord, r[c]) for r in spark.read.parquet(out[name]).collect())
+    assert got("count", "window_id") == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 0, 0), (2, 1, 0)]
+    assert got("silence", "window_id") == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 0, 0), (2, 1, 1)]
+    assert got("sessions", "session_id") == [(1, 2, 0), (1, 3, 0), (1, 4, 0), (2, 0, 0), (2, 1, 0)]
+
+
 def write(tmp_path, name, text):
     p = tmp_path / name
     p.write_text(text)

@@ -103,9 +103,10 @@ def per_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
-    """Jobs started inside can be cancelled from another thread: spark.interruptTag(tag)."""
-    spark.addTag(tag)
+    """Jobs that this thread starts inside can be cancelled from another thread, by calling what is yielded."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
     try:
-        yield lambda: spark.interruptTag(tag)
+        yield lambda: context.cancelJobsWithTag(tag)
     finally:
-        spark.removeTag(tag)
+        context.removeJobTag(tag)

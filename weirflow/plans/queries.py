@@ -627,6 +627,13 @@ def records_unchecked(spark, d):
     return memory.from_records(spark, [Row(a=1, b=2.5), {"a": 2}], "a bigint, b double", checked=False)
 
 
+@query("SELECT 1::BIGINT AS id, 'ann' AS name, 2.5::DOUBLE AS score, 2::BIGINT AS tags, 'x' AS d UNION ALL SELECT 2, NULL, NULL, 0, 'y'")
+def built_records(spark, d):
+    one = memory.RecordBuilder().int("id", 1).string("name", "ann").float("score", 2.5).array("tags", ["a", "b"], "string").record("more", memory.RecordBuilder().string("d", "x"))
+    two = memory.RecordBuilder().int("id", 2).array("tags", [], "string").record("more", memory.RecordBuilder().string("d", "y"))
+    return memory.from_built(spark, one, two).select("id", "name", "score", F.size("tags").cast("long").alias("tags"), "more.d")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def foreach_collected(spark, d):
     """Rows by for_each_local and for_each (an accumulator counts), and back by from_records."""

@@ -28,6 +28,64 @@ def from_records(spark: SparkSession, records: Iterable[dict | Row], schema: str
     return spark.createDataFrame([tuple(r.get(f) for f in schema.fieldNames()) for r in rows], schema, verifySchema=checked)
 
 
+class RecordBuilder:
+    """A record field by field, each of a given type; fields keep their order. An unset or None value is NULL.
+
+    A value that isn't of its type is refused when it is set, with the field's name.
+    """
+
+    def __init__(self):
+        self._fields: dict[str, tuple[T.DataType, object]] = {}
+
+    def field(self, name: str, value, to: str) -> RecordBuilder:
+        kind = T._parse_datatype_string(to)
+        T._make_type_verifier(kind, nullable=True, name=f"field {name}")(value)
+        self._fields[name] = kind, value
+        return self
+
+    def int(self, name: str, value: int | None) -> RecordBuilder:
+        return self.field(name, value, "bigint")
+
+    def float(self, name: str, value: float | None) -> RecordBuilder:
+        return self.field(name, value, "double")
+
+    def string(self, name: str, value: str | None) -> RecordBuilder:
+        return self.field(name, value, "string")
+
+    def bool(self, name: str, value: bool | None) -> RecordBuilder:
+        return self.field(name, value, "boolean")
+
+    def time(self, name: str, value) -> RecordBuilder:
+        return self.field(name, value, "timestamp")
+
+    def array(self, name: str, value: list | None, of: str) -> RecordBuilder:
+        return self.field(name, value, f"array<{of}>")
+
+    def record(self, name: str, value: RecordBuilder) -> RecordBuilder:
+        self._fields[name] = value.schema, value.values
+        return self
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(n, kind) for n, (kind, _) in self._fields.items()])
+
+    @property
+    def values(self) -> tuple:
+        return tuple(v for _, v in self._fields.values())
+
+
+def from_built(spark: SparkSession, *records: RecordBuilder) -> DataFrame:
+    """Rows of built records. Their schemas are merged by name; a field that a record lacks is NULL, types must agree."""
+    fields: dict[str, T.DataType] = {}
+    for r in records:
+        for f in r.schema:
+            if fields.setdefault(f.name, f.dataType) != f.dataType:
+                raise TypeError(f"field {f.name} is {fields[f.name].simpleString()} and {f.dataType.simpleString()}")
+    schema = T.StructType([T.StructField(n, kind) for n, kind in fields.items()])
+    rows = [tuple(dict(zip(r.schema.fieldNames(), r.values, strict=True)).get(n) for n in fields) for r in records]
+    return spark.createDataFrame(rows, schema) if fields else spark.createDataFrame([], "empty string")
+
+
 def value_range(spark: SparkSession, start: int, end: int, step: int = 1) -> DataFrame:
     """start, start + step, ... before end, as a column `value`; a step of 0 would not end and is refused."""
     if step == 0:
