@@ -299,11 +299,13 @@ def test_unchecked_values(spark):
 def test_jobs_can_be_cancelled(spark):
     import threading
 
+    slow = lambda n: spark.range(0, n, 1, 4).selectExpr("sum(id % 7)").collect()
+    slow(10)
     with R.cancellable(spark, "to-cancel") as cancel:
-        stopper = threading.Timer(1.0, cancel)
+        stopper = threading.Timer(2.0, cancel)
         stopper.start()
         with pytest.raises(Exception, match="(?i)cancel"):
-            spark.range(0, 2 * 10**10, 1, 4).selectExpr("sum(id % 7)").collect()
+            slow(6 * 10**10)
         stopper.join()
     assert spark.range(3).count() == 3
 
