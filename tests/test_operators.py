@@ -261,6 +261,13 @@ def test_flatten(spark):
     assert dot_flatten(out.select("id", "`a.b`")).columns == ["id", "a.b"]
 
 
+def test_which_fields_are_arrays(spark):
+    from weirflow.functions.flatten import is_array
+
+    df = spark.createDataFrame([([1], 2, "x")], "a array<int>, b int, c string")
+    assert [is_array(df, c) for c in df.columns] == [True, False, False]
+
+
 def test_tee_and_split(spark):
     v = values(spark, [i % 20 for i in range(1000)])
     a, b = R.tee(v, 2)
@@ -451,7 +458,16 @@ def test_protobuf(spark, tmp_path):
         got = proto.read_protobuf(spark, path, about, "t.M", json_lines).orderBy("id").collect()
         assert got[0].asDict(True) == {"id": 1, "tags": ["a", "b"], "color": "BLUE", "inner": {"x": 1.5}, "raw": b"\x00\xff", "big": 2**63}
         assert got[1].id == 2 and got[1].tags is None and got[1].color is None
+    # Files are read as streams: of many chunks, a message longer than a chunk, a name that a URI would escape.
     cls = proto.message_class(about, "t.M")
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    (folder / "x.pb").write_bytes(b"".join(proto.delimited(cls(id=i, tags=["t" * i])) for i in range(2500)))
+    got = proto.read_protobuf(spark, str(folder), about, "t.M").where("length(tags[0]) = id or id = 0")
+    assert got.count() == 2500
+    one = b"".join(proto.delimited(cls(id=i, tags=["t" * i])) for i in range(300))
+    assert all([m.id for m in proto.messages(one, cls, chunk)] == list(range(300)) for chunk in (1, 7, 1 << 20))
+    assert list(proto.read_protobuf(spark, str(folder), about, "t.M").columns) == ["id", "tags", "color", "inner", "raw", "big"]
     body = proto.delimited(cls(id=5))
     assert [x.id for x in proto.messages(body + b"\x80", cls)] == [5]
     with pytest.raises(ValueError):

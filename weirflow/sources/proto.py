@@ -2,13 +2,16 @@
 
 Messages become structs: repeated fields arrays, maps maps with text keys, enums their names, bytes binary, unsigned 64-bit
 numbers decimals; a field that isn't set is NULL. Files are read through Spark (any store), one file a task at most.
-Writing makes one file for each partition in a folder that all executors share.
+Writing makes one file for each partition in a folder of a file system that all executors share.
 """
 
 from __future__ import annotations
 
-import os
+import io
+import re
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -116,17 +119,22 @@ def _varint(data: bytes, at: int) -> tuple[int | None, int]:
     return None, at
 
 
-def messages(data: bytes, cls) -> Iterator:
-    """Length-delimited messages; an end within a length is the end, within a message an error."""
-    at = 0
-    while at < len(data):
-        size, at = _varint(data, at)
-        if size is None:
-            return
-        if at + size > len(data):
-            raise ValueError(f"a message of {size} bytes is cut off after {len(data) - at}")
-        yield cls.FromString(data[at : at + size])
-        at += size
+def messages(data: bytes | BinaryIO, cls, chunk: int = 1 << 20) -> Iterator:
+    """Length-delimited messages of bytes or of an open file, which is read in chunks; an end within a length is the end, within a message an error."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    buffer, at = b"", 0
+    while True:
+        size, after = _varint(buffer, at)
+        if size is None or after + size > len(buffer):
+            more = source.read(max(chunk, 0 if size is None else after + size - len(buffer)))
+            if more:
+                buffer, at = buffer[at:] + more, 0
+                continue
+            if size is None:
+                return
+            raise ValueError(f"a message of {size} bytes is cut off after {len(buffer) - after}")
+        yield cls.FromString(buffer[after : after + size])
+        at = after + size
 
 
 def delimited(message) -> bytes:
@@ -139,9 +147,33 @@ def delimited(message) -> bytes:
     return bytes(head) + body
 
 
+#: Schemes that pyarrow opens where the executors run.
+_STREAMED = ("file", "hdfs", "s3", "s3a", "gs")
+
+
+def _file_system(uri: str):
+    """The pyarrow file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    scheme = uri.split(":", 1)[0] if ":/" in uri else ""
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/") if scheme else uri
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", quote(uri, safe=":/")))
+
+
 def read_protobuf(spark: SparkSession, path: str, descriptors: bytes, message: str, json_lines: bool = False) -> DataFrame:
+    """Rows of length-delimited messages (a file is one task's, read as a stream, whatever its size) or of lines of JSON.
+
+    On file systems that only Spark opens a binary file is one value, so at most 2 GB.
+    """
     schema = struct_type(message_class(descriptors, message).DESCRIPTOR)
-    files = spark.read.text(path) if json_lines else spark.read.format("binaryFile").load(path).select("content")
+    if json_lines:
+        files, streamed = spark.read.text(path), False
+    else:
+        found = spark.read.format("binaryFile").load(path)
+        first = found.select("path").limit(1).collect()
+        streamed = bool(first) and first[0].path.split(":", 1)[0] in _STREAMED
+        files = found.select("path" if streamed else "content")
 
     def parse(batches):
         import pyarrow as pa
@@ -149,6 +181,15 @@ def read_protobuf(spark: SparkSession, path: str, descriptors: bytes, message: s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         cls, target = message_class(descriptors, message), to_arrow_schema(schema)
+
+        def of_file(value):
+            if not streamed:
+                yield from messages(value, cls)
+                return
+            system, name = _file_system(value)
+            with system.open_input_stream(name) as f:
+                yield from messages(f, cls)
+
         for batch in batches:
             rows = []
             for value in batch.column(0).to_pylist():
@@ -156,7 +197,7 @@ def read_protobuf(spark: SparkSession, path: str, descriptors: bytes, message: s
                     if value.strip():
                         rows.append(to_python(json_format.Parse(value, cls())))
                     continue
-                for m in messages(value, cls):
+                for m in of_file(value):
                     rows.append(to_python(m))
                     if len(rows) >= 10_000:
                         yield from pa.Table.from_pylist(rows, target).to_batches()
@@ -174,9 +215,7 @@ class _Writer(DataSourceWriter):
         self.path, self.descriptors, self.message, self.json_lines = path, descriptors, message, json_lines
 
     def _place(self):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:/") else (fs.LocalFileSystem(), self.path)
+        system, path = _file_system(self.path)
         return system, path.rstrip("/")
 
     def write(self, rows) -> WriterCommitMessage:
