@@ -36,8 +36,8 @@ BANDS, ROWS = 10, 3
 DF_SLOTS, DF_CHUNK = 1 << 19, 1 << 14
 #: Words in fewer than one of so many documents weigh the same.
 RARE = 1024
-#: Members of a cluster, and members outside its largest class, that meet in one task.
-CLUSTER_ROWS = 1024
+#: A cluster's members, and those outside its largest class, meet in tasks of a 64th of the cluster, within these bounds of rows.
+LEAST_ROWS, CLUSTER_ROWS = 128, 4096
 
 
 def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +274,8 @@ def _left_over(members: DataFrame, labels: DataFrame, texts: DataFrame, held: Br
     members = stage(members.join(labels, "key", "left").select("key", "pivot", F.coalesce("label", "key").alias("label")), "neardup-labelled")
     each = members.groupBy("pivot", "label").agg(F.count("*").alias("n"))
     several = each.groupBy("pivot").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1 and all > 2")
-    cuts = lambda n: F.ceil(n / CLUSTER_ROWS).cast("int")
+    share = F.least(F.lit(CLUSTER_ROWS), F.greatest(F.lit(LEAST_ROWS), F.col("all") / 64))
+    cuts = lambda n: F.ceil(n / share).cast("int")
     several = stage(several.select("pivot", F.col("most.label").alias("main"), cuts(F.col("all")).alias("parts"), cuts(F.col("all") - F.col("most.n")).alias("groups")), "neardup-several")
     rows = members.where("key <> pivot").join(several.hint("merge"), "pivot")
     joined = rows.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
