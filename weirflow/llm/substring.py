@@ -181,13 +181,20 @@ def _rows(key, anchor, start, bits, alone=None, many=None) -> pa.RecordBatch:
 def _intervals(batches, length: int):
     """(key, cover): the covered words as packed pairs of int32, first and end, ascending and apart."""
     for batch in batches:
-        covers = []
-        for row in batch.column(1).to_pylist():
-            starts = np.unique(np.concatenate([x["start"] + np.flatnonzero([x["bits"] >> i & 1 for i in range(x["bits"].bit_length())]) for x in row]))
-            cut = np.flatnonzero(np.diff(starts) > length)
-            first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
-            covers.append(np.stack([first, last + length], axis=1).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(covers, pa.binary())], ["key", "cover"])
+        lists = batch.column(1)
+        n = np.asarray(lists.value_lengths()).astype(np.int64)
+        marks = lists.flatten()
+        start, bits = (np.asarray(marks.field(c)) for c in ("start", "bits"))
+        place, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(bits, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        # Each covered run once: its key's number and its start as one number.
+        runs = np.unique((np.repeat(np.arange(len(n)), n)[place] << 32) + start[place] + bit)
+        owner, at = runs >> 32, runs & 0xFFFFFFFF
+        first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(at, prepend=0) > length))
+        last = np.append(first[1:], len(runs))[: len(first)] - 1
+        pairs = np.stack([at[first], at[last] + length], axis=1).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(n)))]).astype(np.int32) * 8
+        covers = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), covers], ["key", "cover"])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text") -> tuple[DataFrame, DataFrame]:
