@@ -31,7 +31,7 @@ from .common import CHUNKS, Rolling, add_chunks, emit_chunks, id_text, mixed, sl
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT_WORDS = 65_536
 ITERATIONS = 2
-PART_CHARS, LONG_WORD, SLICE_CHARS = 500_000, 1024, 65_536
+PART_CHARS, LONG_WORD, SLICE_CHARS = 200_000, 1024, 65_536
 MARK = "▁"
 
 
