@@ -39,6 +39,7 @@ AIM, FIRST_SHARE = 0.97, 0.02
 COLUMNS, EPSILON = 16, 2.1
 #: Queries of a tile; the share of its pairs below which these are finished one by one; bytes of the queries of one broadcast.
 TILE_ROWS, FEW, QUERY_BYTES = 256, 0.02, 16 << 20
+FOUND = "key string, ids array<bigint>, score double"
 
 
 def valid_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -245,7 +246,7 @@ def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: s
     wanted = asked.select("key").distinct().join(each.select("key", "v"), "key")
     blocks = max(1, -(-asked.count() * d * 8 // QUERY_BYTES))
     wanted = stage(wanted.mapInArrow(reach, "key string, v array<double>, first double, last double").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(blocks))), "ann-queries")
-    found = None
+    tables = []
     for block in range(blocks):
         # QUERY_BYTES of queries, about, reach the driver at a time.
         got = wanted.where(F.col("block") == block).toArrow()
@@ -257,12 +258,12 @@ def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: s
         where = {key: i for i, key in enumerate(queries.keys)}
         for key, score in zip(told["key"].to_pylist(), told["score"].to_pylist(), strict=True):
             queries.bounds[where[key]] = score
-        others = _round(lists, queries, fitted, False, k + 1)
-        found = near_ones.unionAll(others) if found is None else found.unionAll(near_ones).unionAll(others)
+        tables += [near_ones, _round(lists, queries, fitted, False, k + 1)]
     tidy(spark, fitted)
     release(each, placed, lists, wanted)
-    if found is None:
+    if not tables:
         return spark.createDataFrame([], schema)
+    found = spark.read.schema(FOUND).parquet(*(t._weirflow_path for t in tables))  # one relation, however many blocks
     pairs = asked.join(_best(found, k + 1), "key").select(F.col("vec_id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -276,7 +277,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _round(lists: DataFrame, queries: Queries, fitted: Broadcast, first: bool, k: int) -> DataFrame:
     """(key, ids, score), staged: of one block of queries the k best of one round's lists that reach the bounds."""
     held = lists.sparkSession.sparkContext.broadcast(queries)
-    out = stage(_best(lists.mapInArrow(lambda batches: _scan(batches, held, fitted, first, k), "key string, ids array<bigint>, score double"), k), "ann-found")
+    out = stage(_best(lists.mapInArrow(lambda batches: _scan(batches, held, fitted, first, k), FOUND), k), "ann-found")
     held.destroy()
     return out
 
