@@ -442,7 +442,7 @@ def test_long_words_give_the_same_and_little_memory(monkeypatch):
     top = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert top < 60 << 20
-    assert lm_score._word_parts(pa.array(["a" * 600_000, "b", "c" * 10, "d" * 499_990])) == [(0, 1), (1, 2), (3, 1)]
+    assert lm_score._word_parts(pa.array(["a" * 600_000, "b", "c" * 10, "d" * (lm_score.PART_CHARS - 10)])) == [(0, 1), (1, 2), (3, 1)]
 
 
 def test_lm_scores_of_documents(spark):
@@ -587,6 +587,15 @@ def test_repeats(docs, texts, monkeypatch, hot):
     assert got == brute_substring(texts)
 
 
+def test_intervals():
+    """Runs that touch join, others stay apart; a key's marks in any order, with repeats."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("bits", pa.int64())]))
+    rows = [[(40, 0b101), (10, 0b1), (41, 0b10)], [(0, 1 << 19)], [(5, 0b11), (5, 0b10), (50, 1), (30, 1)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b", b"c"]), pa.array([[{"start": s, "bits": b} for s, b in row] for row in rows], kind)], ["key", "runs"])
+    (out,) = substring._intervals([batch], 20)
+    assert [np.frombuffer(c, dtype=np.int32).reshape(-1, 2).tolist() for c in out.column(1).to_pylist()] == [[[10, 30], [40, 62]], [[19, 39]], [[5, 26], [30, 70]]]
+
+
 def test_rolling_hashes():
     w = np.array([3, 1, 4, 1, 5, 3, 1, 4], dtype=np.uint64)
     runs = Rolling(w).runs(3)
