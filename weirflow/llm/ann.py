@@ -40,6 +40,8 @@ COLUMNS, EPSILON = 16, 2.1
 #: Queries of a tile; the share of its pairs below which these are finished one by one; bytes of the queries of one broadcast.
 TILE_ROWS, FEW, QUERY_BYTES = 256, 0.02, 16 << 20
 FOUND = "key string, ids array<bigint>, score double"
+#: How tables of vectors are written: their numbers neither repeat nor compress.
+DENSE = {"compression": "none", "parquet.enable.dictionary": "false"}
 
 
 def valid_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -153,7 +155,7 @@ class Queries:
 
 
 def _scan(batches, held: Broadcast, fitted: Broadcast, first_round: bool, k: int):
-    """Rows by list: (key, ids, v, list). Gives (key, ids, score) of what may be among a query's k best."""
+    """Rows by list: (key, ids, v, list), v the packed doubles. Gives (key, ids, score) of what may be among a query's k best."""
     queries, (centers, rotation, square) = held.value, fitted.value
     best = np.full((len(queries.keys), k), -np.inf)
     best[:, 0] = queries.bounds
@@ -169,7 +171,7 @@ def _scan(batches, held: Broadcast, fitted: Broadcast, first_round: bool, k: int
             if not len(who):
                 continue
             part = batch.slice(a, b - a)
-            block = Block(_matrix(part.column(2), d), part.column(1).to_pylist(), rotation, square)
+            block = Block(np.frombuffer(b"".join(part.column(2).to_pylist())).reshape(-1, d), part.column(1).to_pylist(), rotation, square)
             for at in range(0, len(who), TILE_ROWS):
                 mine = who[at : at + TILE_ROWS]
                 # What rounding takes from a bound must not give up a candidate that ties with it.
@@ -197,10 +199,10 @@ def _scan(batches, held: Broadcast, fitted: Broadcast, first_round: bool, k: int
 def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: str = "vec_id", vector: str = "embedding", most_lists: int = MOST_LISTS, aim: float = AIM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by modulus."""
     spark, schema = table.sparkSession, "query_id bigint, rank int, vec_id bigint, score double"
-    rows = stage(valid_vectors(table, vec_id, vector), "ann-vectors")
+    rows = stage(valid_vectors(table, vec_id, vector), "ann-vectors", **DENSE)
     first = Window.partitionBy("key").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    each = stage(few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")), "ann-distinct")
+    each = stage(few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")), "ann-distinct", **DENSE)
     facts = each.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square"), F.first(F.size("v")).alias("d")).head()
     if not facts.n:
         return spark.createDataFrame([], schema)
@@ -217,13 +219,14 @@ def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: s
         for batch in batches:
             x = _matrix(batch.column(2), d)
             more = np.sqrt(np.maximum(square - (x * x).sum(axis=1), 0))[:, None]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(np.hstack([x, more]), centers).astype(np.int32))], ["key", "ids", "v", "list"])
+            packed = pa.array([row.tobytes() for row in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array(nearest(np.hstack([x, more]), centers).astype(np.int32))], ["key", "ids", "v", "list"])
 
-    placed = stage(each.select("key", "ids", "v").mapInArrow(assign, "key string, ids array<bigint>, v array<double>, list int"), "ann-placed")
+    placed = each.select("key", "ids", "v").mapInArrow(assign, "key string, ids array<bigint>, v binary, list int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = stage(placed.repartitionByRange(parts, "list", "key").sortWithinPartitions("list", "key"), "ann-lists")
+    lists = stage(placed.repartitionByRange(parts, "list", "key").sortWithinPartitions("list", "key"), "ann-lists", **DENSE)
     held_by = np.zeros(len(centers), dtype=np.int64)
-    for row in placed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row for each list: at most most_lists
+    for row in lists.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row for each list: at most most_lists
         held_by[row["list"]] = row["n"]
     near = max(1, int(np.ceil(len(centers) * FIRST_SHARE)))
 
@@ -245,7 +248,7 @@ def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: s
     asked = rows.where(F.col("vec_id") % modulus == 0).select("vec_id", "key")
     wanted = asked.select("key").distinct().join(each.select("key", "v"), "key")
     blocks = max(1, -(-asked.count() * d * 8 // QUERY_BYTES))
-    wanted = stage(wanted.mapInArrow(reach, "key string, v array<double>, first double, last double").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(blocks))), "ann-queries")
+    wanted = stage(wanted.mapInArrow(reach, "key string, v array<double>, first double, last double").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(blocks))), "ann-queries", **DENSE)
     tables = []
     for block in range(blocks):
         # QUERY_BYTES of queries, about, reach the driver at a time.
@@ -260,7 +263,7 @@ def search(table: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, vec_id: s
             queries.bounds[where[key]] = score
         tables += [near_ones, _round(lists, queries, fitted, False, k + 1)]
     tidy(spark, fitted)
-    release(each, placed, lists, wanted)
+    release(each, lists, wanted)
     if not tables:
         return spark.createDataFrame([], schema)
     found = spark.read.schema(FOUND).parquet(*(t._weirflow_path for t in tables))  # one relation, however many blocks

@@ -41,11 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weirflow/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weirflow_path = path
     for made in _collecting:
