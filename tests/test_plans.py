@@ -96,3 +96,20 @@ def test_blocks_of_every_type(spark, monkeypatch, kind):
     rows = ends.collect()
     assert all(x.hi < y.lo for x, y in zip(rows, rows[1:], strict=False))
     assert len(rows) > {"boolean": 1, "array<int>": 0}.get(kind, 5)
+
+
+#: Queries over an order of all rows, which ran out of the driver's memory on 60 times sf0.1: Spark put the search for blocks into itself at every step.
+BY_ORDER = ["count_window"]
+
+
+@pytest.mark.parametrize("name", BY_ORDER)
+def test_plans_of_orders_do_not_grow_with_the_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(O, "BLOCK_ROWS", 10**9)
+    expected = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    made = []
+    for rows in (100, 10):
+        monkeypatch.setattr(O, "BLOCK_ROWS", rows)
+        df = QUERIES[name](spark, SF)
+        made.append(df._jdf.queryExecution().analyzed().toString().count(f" AS {O.BLOCK}#"))
+    assert made[0] == made[1] > 0
+    assert sorted(map(str, df.collect())) == expected

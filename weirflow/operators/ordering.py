@@ -81,14 +81,18 @@ class Ordered:
         bounds = [b for i, b in enumerate(bounds) if not i or b != bounds[i - 1]]
         told = json.dumps([dict(zip(names, b, strict=True)) for b in bounds], default=str)
         table = F.from_json(F.lit(told), f"array<struct<{','.join(f'{n}:{k[1]}' for n, k in zip(names, keys, strict=True))}>>")
-        # A binary search, a projection a step: none of them is worth inlining, so each is computed once a row.
-        out, step = df.withColumn(BLOCK, F.lit(0)), 1 << max(0, len(bounds).bit_length() - 1)
-        while bounds and step:
-            bound = F.get(table, F.col(BLOCK) + (step - 1))
-            reached = reduce(lambda later, x: F.when(x[1][0].eqNullSafe(bound[x[0]]), later).otherwise(_after(x[1][0], bound[x[0]], *x[1][2:])), reversed(list(zip(names, keys, strict=True))), F.lit(True))
-            out = out.withColumn(BLOCK, F.col(BLOCK) + F.when(bound.isNotNull() & F.coalesce(reached, F.lit(False)), step).otherwise(0))
-            step >>= 1
-        return out
+        # A binary search in one expression: a column made by a projection a step would be put into itself at every step where
+        # Spark traces a join's keys down the plan, which grows as a power of the steps. The bounds stand in it once.
+        made = [(F.col(f"_by_{n}"), *k[1:]) for n, k in zip(names, keys, strict=True)]
+
+        def reached(bound: Column) -> Column:
+            later = reduce(lambda later, x: F.when(x[1][0].eqNullSafe(bound[x[0]]), later).otherwise(_after(x[1][0], bound[x[0]], *x[1][2:])), reversed(list(zip(names, made, strict=True))), F.lit(True))
+            return bound.isNotNull() & F.coalesce(later, F.lit(False))
+
+        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        rows = df.select("*", *(k[0].alias(f"_by_{n}") for n, k in zip(names, keys, strict=True)))
+        block = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.transform(F.array(F.get(table, at + step - 1)), reached)[0], step).otherwise(0)) if bounds else F.lit(0)
+        return rows.withColumn(BLOCK, block).drop(*(f"_by_{n}" for n in names))
 
     def within(self, *ties: Column):
         """The window of a block's rows in order; ties: what decides between rows that are equal in the order."""
