@@ -99,7 +99,7 @@ def test_blocks_of_every_type(spark, monkeypatch, kind):
 
 
 #: Queries over an order of all rows, which ran out of the driver's memory on 60 times sf0.1: Spark put the search for blocks into itself at every step.
-BY_ORDER = ["count_window", "late_data_side_output", "late_sliding", "running_group_summary", "sort_count_window", "value_change_trigger", "activity_sessions_of_all", "count_trigger", "late_data_drop", "late_sessions", "running_count", "running_max", "running_stats", "sliding_count_window", "sort_by", "window_builder_lateness"]
+BY_ORDER = ["count_window", "late_data_side_output", "late_sliding", "running_group_summary", "sort_count_window", "value_change_trigger", "activity_sessions_of_all", "count_trigger", "late_data_drop", "late_sessions", "running_count", "running_max", "running_stats", "sliding_count_window", "sort_by", "window_builder_lateness", "condition_trigger"]
 
 
 @pytest.mark.parametrize("name", BY_ORDER)
