@@ -587,6 +587,20 @@ def test_repeats(docs, texts, monkeypatch, hot):
     assert got == brute_substring(texts)
 
 
+def test_parts_of_hot_anchors_go_by_their_own_occurrences(spark, monkeypatch):
+    """Beside an anchor of 1,500 occurrences those of 40 aren't split so far that their repeats are all alone."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 20)
+    monkeypatch.setattr(substring, "PART_ROWS", 8)
+    staged = {}
+    monkeypatch.setattr(substring, "stage", lambda df, label, f=substring.stage: staged.setdefault(label, f(df, label)))
+    monkeypatch.setattr(substring, "release", lambda *tables: None)
+    passage = lambda j: " ".join(f"p{j}w{k}" for k in range(60))
+    texts = dict(enumerate(f"{passage(j)} u{j}x{i}" for j, n in enumerate([1500] + [40] * 5) for i in range(n)))
+    got = substring.substring_dedup(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == brute_substring(texts)
+    assert staged["substring-hot"].agg(F.sum(F.size("alone"))).head()[0] < 2 * len(texts)
+
+
 def test_intervals():
     """Runs that touch join, others stay apart; a key's marks in any order, with repeats."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("bits", pa.int64())]))

@@ -6,7 +6,7 @@ joined by its hash; those without a second one end there. The others are extende
 around the seed that has it as its anchor is compared, by hash, with the runs around all other occurrences at once.
 What repeats is covered, and neighbouring runs join to maximal repeats. A group of n occurrences so costs n rows, never
 n * n pairs. Groups of at most HOT_ROWS occurrences are compared in one task; larger ones (a licence line in a third of all
-documents) in parts of about PART_ROWS, and what is alone in its part is then looked up among all others' runs.
+documents) in parts of PART_ROWS to twice as many, and what is alone in its part is then looked up among all others' runs.
 
 A text's key is its MD5, and equal texts have equal results, so copies are seeded once a task; texts that occur twice are
 repeats from end to end. Runs are equal if their hash of 64 bits and that of their anchor are.
@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, hashes_of, inside, key_of, release, slices, stage, text_of, trim, words_of
@@ -59,8 +59,17 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind=pa.int64()) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _seeds(keyed: DataFrame, length: int, seed: int) -> tuple[DataFrame, int]:
-    """The most occurrences of an anchor, and (key, marks): for texts with anchors that occur again, their numbers, times two, plus one for hot ones; packed int32."""
+#: A mark is an anchor's number in its text, times so many, plus its level.
+LEVELS = 64
+
+
+def _level(times: Column) -> Column:
+    """0 for anchors that aren't hot; for those of 2^level / 2 parts of PART_ROWS rows and more, level."""
+    return F.when(times > HOT_ROWS, F.greatest(F.lit(0), F.floor(F.log2(times / PART_ROWS))) + 1).otherwise(0).cast("bigint")
+
+
+def _seeds(keyed: DataFrame, length: int, seed: int) -> DataFrame:
+    """(key, marks): for texts with anchors that occur again, their marks."""
 
     def scan(batches):
         seen: set[bytes] = set()
@@ -77,17 +86,15 @@ def _seeds(keyed: DataFrame, length: int, seed: int) -> tuple[DataFrame, int]:
     per_text = stage(keyed.mapInArrow(scan, "key binary, anchors array<bigint>"), "substring-anchors")
     each = per_text.select("key", F.posexplode("anchors").alias("n", "anchor"))
     # A table of its own: Spark splits skewed keys of joins whose sides are plain exchanges only.
-    again = counted = stage(each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "substring-again")
-    most = again.agg(F.max("times")).head()[0] or 0
-    again = again.select("anchor", (F.col("times") > HOT_ROWS).cast("int").alias("hot"))
-    found = each.join(again.hint("merge"), "anchor").groupBy("key").agg(F.collect_set(F.col("n") * 2 + F.col("hot")).alias("marks"))
+    again = stage(each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", _level(F.col("times")).alias("level")), "substring-again")
+    found = each.join(again.hint("merge"), "anchor").groupBy("key").agg(F.collect_set(F.col("n") * LEVELS + F.col("level")).alias("marks"))
     out = stage(found, "substring-seeds")
-    release(per_text, counted)
-    return out, most
+    release(per_text, again)
+    return out
 
 
 def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) -> DataFrame:
-    """(anchor, key, start, runs, hot): of each seed, where its first run of words starts and the hashes of its runs."""
+    """(anchor, key, start, runs, level): of each seed, where its first run of words starts and the hashes of its runs."""
 
     def scan(batches):
         seen: set[bytes] = set()
@@ -103,13 +110,12 @@ def _occurrences(keyed: DataFrame, seeds: DataFrame, length: int, seed: int) ->
                     continue
                 base = np.searchsorted(text, np.arange(len(part)))
                 flat = np.asarray(marks.flatten()).astype(np.int64)
-                where = np.repeat(base, np.asarray(marks.value_lengths())) + flat // 2
-                hot = flat % 2 == 1
+                where = np.repeat(base, np.asarray(marks.value_lengths())) + flat // LEVELS
                 count = last[where] - start[where] + 1
                 inner = np.repeat(start[where] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[where]), keys.take(pa.array(text[where])), pa.array((start[where] - bounds[text[where]]).astype(np.int32)), _lists(runs[inner].view(np.int64), count), pa.array(hot)], ["anchor", "key", "start", "runs", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[where]), keys.take(pa.array(text[where])), pa.array((start[where] - bounds[text[where]]).astype(np.int32)), _lists(runs[inner].view(np.int64), count), pa.array((flat % LEVELS).astype(np.int32))], ["anchor", "key", "start", "runs", "level"])
 
-    return keyed.join(seeds.hint("merge"), "key").select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key binary, start int, runs array<bigint>, hot boolean")
+    return keyed.join(seeds.hint("merge"), "key").select("key", "text", "marks").mapInArrow(scan, "anchor bigint, key binary, start int, runs array<bigint>, level int")
 
 
 #: Of _extend(): bits of repeats; (alone) runs that occur once in their group, with their places; (many) runs that repeat in some group, with their anchors.
@@ -201,13 +207,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str =
     """(keyed, found): documents with their key; of each key with repeats, cover (packed intervals of words) and whole (the text occurs twice)."""
     keyed = docs.select(key_of(F.col(text)).alias("key"), text_of(F.col(text)).alias("text"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole"))
-    seeds, most = _seeds(keyed, length, seed)
+    seeds = _seeds(keyed, length, seed)
     places = stage(_occurrences(keyed, seeds, length, seed), "substring-places")
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cool = places.where("not hot").select("anchor", "key", "start", "runs").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _extend(batches, 1), EXTENDED).select("key", "start", "bits")
+    cool = places.where("level = 0").select("anchor", "key", "start", "runs").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _extend(batches, 1), EXTENDED).select("key", "start", "bits")
     # Of hot anchors parts are compared by themselves, and then what was alone in its part with all others, run by run.
-    parts = max(1, -(-most // PART_ROWS))
-    hot = places.where("hot").select("anchor", F.pmod(F.xxhash64("key", "start"), F.lit(parts)).cast("int").alias("part"), "key", "start", "runs")
+    # Each anchor has parts for its own occurrences: in those of the hottest one, rows of others would be alone.
+    hot = places.where("level > 0").select("anchor", F.pmod(F.xxhash64("key", "start"), F.expr("shiftleft(1L, level - 1)")).alias("part"), "key", "start", "runs")
     hot = hot_parts = stage(hot.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(lambda batches: _extend(batches, 2), EXTENDED), "substring-hot")
     alone = hot.where("size(alone) > 0").select("key", "anchor", "start", F.explode(F.arrays_zip("places", "alone")).alias("x")).select("key", "anchor", (F.col("start") + F.col("x.places")).alias("start"), F.col("x.alone").alias("run"))
     found = alone.select("anchor", "run", F.lit(1).alias("n")).unionAll(hot.where("size(many) > 0").select(F.explode(F.arrays_zip("anchors", "many")).alias("x")).select("x.anchors", "x.many", F.lit(2)))
