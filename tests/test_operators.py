@@ -1,6 +1,7 @@
 """Small vectors, and one test for each place where a loose engine would go wrong."""
 
 import datetime as dt
+import time
 from decimal import Decimal
 
 import pytest
@@ -85,6 +86,26 @@ def test_custom_fold(spark):
     assert A.aggregate_scalar(values(spark, [2, 3, 4]), fold) == 24
 
 
+def test_custom_fold_with_merge(spark):
+    """A text that grows over many values, in order; no values give the initial one."""
+    joined = lambda s, v: F.when(s == "", v).otherwise(F.concat(s, F.lit(","), v))
+    fold = A.custom_fold("p", F.col("id").cast("string"), -F.col("id"), F.lit(""), joined, F.upper, merge=joined)
+    for n in (0, 1, 15, 16, 17, 257, 5000):
+        assert A.aggregate_scalar(spark.range(n).repartition(3), fold) == ",".join(map(str, reversed(range(n))))
+
+
+def test_a_text_folded_over_many_values_takes_linear_time(spark):
+    """Copied at every value, these 300,000 would move 300 GB."""
+    from weirflow.plans.queries import QUERIES
+
+    events = spark.range(300_000).selectExpr("id as event_id", "'a' as event_type", "cast(id as double) as value")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("weirflow.plans.queries.table", lambda *a: events)
+        began = time.time()
+        (row,) = QUERIES["custom_aggregates"](spark, "").collect()
+    assert row.ids == ",".join(map(str, range(300_000))) and time.time() - began < 20
+
+
 def people(spark):
     left = spark.createDataFrame([(9, "none"), (1, "ann"), (2, "bob"), (None, "nil")], "dept int, name string")
     right = spark.createDataFrame([(1, "hr"), (2, "it"), (3, "law"), (None, "null")], "id int, name string")

@@ -119,14 +119,30 @@ def column_spec(name: str, aggregate: Column) -> Spec:
     return Spec(name, lambda df: aggregate)
 
 
-def custom_fold(name: str, value: Column, order: Column, initial: Column, accumulate: Callable[[Column, Column], Column], finalize: Callable[[Column], Column] | None = None) -> Spec:
-    """A fold without a merge step: a group's values are gathered in order and folded in the JVM.
+#: With a merge step, so many values are folded at a time, and so many folds merged, up to 2^32 values.
+FAN, FAN_LEVELS = 16, 8
 
-    One task holds a group's values, so this is for groups that fit in memory; use column_spec where a built-in does it.
+
+def custom_fold(name: str, value: Column, order: Column, initial: Column, accumulate: Callable[[Column, Column], Column], finalize: Callable[[Column], Column] | None = None, merge: Callable[[Column, Column], Column] | None = None) -> Spec:
+    """A fold without built-in aggregates: a group's values are gathered in order and folded in the JVM.
+
+    One task holds a group's values, so this is for groups that fit in memory; use column_spec where a built-in does it. A
+    state that grows (a text) is copied at every value: with merge, which joins the folds of neighbours, the earlier one
+    first, it is copied a few times at each of a few levels. The initial value must then be neutral.
     """
 
+    def folded(values: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+        """The folds of FAN values at a time; one of no values."""
+        pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / FAN).cast("int") - 1, F.lit(0)))
+        return F.transform(pieces, lambda i: F.aggregate(F.slice(values, i * FAN + 1, FAN), first, step))
+
     def build(df: DataFrame) -> Column:
-        gathered = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+        gathered = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+        if merge:
+            # One array in another is a name for it: it is made once.
+            pieces = F.transform(F.array(gathered), lambda values: folded(values, initial, accumulate))[0]
+            whole = F.aggregate(F.sequence(F.lit(1), F.lit(FAN_LEVELS - 1)), pieces, lambda done, _: F.when(F.size(done) > 1, folded(done, initial, merge)).otherwise(done))[0]
+            return F.transform(F.array(whole), finalize)[0] if finalize else whole
         return F.aggregate(gathered, initial, accumulate, finalize) if finalize else F.aggregate(gathered, initial, accumulate)
 
     return Spec(name, build)

@@ -265,7 +265,8 @@ def group_by_keys_only(spark, d):
 
 @query("SELECT event_type, round(sum(value * value), 2) AS squares, count(*) FILTER (WHERE value > 50) AS above, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY event_type")
 def custom_aggregates(spark, d):
-    fold = A.custom_fold("ids", F.col("event_id").cast("string"), F.col("event_id"), F.lit(""), lambda s, v: F.when(s == "", v).otherwise(F.concat(s, F.lit(","), v)))
+    joined = lambda s, v: F.when(s == "", v).otherwise(F.concat(s, F.lit(","), v))
+    fold = A.custom_fold("ids", F.col("event_id").cast("string"), F.col("event_id"), F.lit(""), joined, merge=joined)
     out = A.group_by(table(spark, d, "events"), ["event_type"], A.column_spec("squares", F.round(F.sum(F.col("value") * F.col("value")), 2)), A.column_spec("above", F.count_if(F.col("value") > 50)), fold)
     return out
 
